@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import utf8
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
 
@@ -43,13 +43,13 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             owners, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
             for first in range(0, len(texts), 512):
                 rows: list[tuple] = []
-                for doc_id, text in zip(owners[first : first + 512], texts[first : first + 512]):
-                    ids = encoder.encode(text) + end
+                for doc_id, found in zip(owners[first : first + 512], encoder.encode(texts[first : first + 512])):
+                    ids = found + end
                     total, start = len(ids) // 4, 0
                     for length in binary_lengths(total, longest):
                         piece = ids[4 * start : 4 * (start + length)]

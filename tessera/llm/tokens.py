@@ -12,23 +12,30 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, shared_dir, utf8
+from ._common import chunks, shared_dir, utf8
 
 #: Words that an encoder remembers before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 
 class WordEncoder:
-    """Ids of texts by a ``tokenizers`` file, as little-endian unsigned 32-bit integers."""
+    """Ids of texts by a ``tokenizers`` file, as little-endian unsigned 32-bit integers.
+
+    Words of printable Latin characters are cut by the tokenizer's own pattern and each distinct
+    piece is encoded by its model once; other words, and those that may hold an added token, go
+    through the whole tokenizer, as do texts where words can't be encoded apart.
+    """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,53 +43,94 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.by_word = splits_at_spaces(spec)
+        pattern = piece_pattern(spec) if self.by_word else None
+        self.pattern = regex.compile(pattern) if pattern else None
+        starts = sorted({re.escape(a["content"].encode()[:2]) for a in spec.get("added_tokens") or ()})
+        self.added = re.compile(b"|".join(starts)) if starts else None
         self.cached = cached
         self.ids: dict[bytes, bytes] = {}
-        self.sizes: dict[bytes, int] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[bytes]) -> list[list[int]]:
+    def _whole(self, parts: list[bytes]) -> list[bytes]:
         texts = [x.decode("utf-8", "replace") for x in parts]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes], known: dict, value: Callable) -> None:
-        if len(known) + len(words) > self.cached:
-            known.clear()
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, map(value, self._encode(part))))
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of ``text``."""
-        if not self.by_word:
-            return np.array(self._encode([text])[0], "<u4").tobytes()
-        words, known = text.split(), self.ids
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            own = set(words)
-            if missing := own - known.keys():
-                before = len(known)
-                self._learn(missing, known, lambda ids: np.array(ids, "<u4").tobytes())
-                if len(known) < before:
-                    self._learn(own - known.keys(), known, lambda ids: np.array(ids, "<u4").tobytes())
-            return b"".join([known[w] for w in words])
-
-    def count(self, text: bytes) -> int:
-        if not self.by_word:
-            return len(self._encode([text])[0])
-        words, known = text.split(), self.sizes
-        try:
-            return sum([known[w] for w in words])
-        except KeyError:
-            own = set(words)
-            if missing := own - known.keys():
-                before = len(known)
-                self._learn(missing, known, len)
-                if len(known) < before:
-                    self._learn(own - known.keys(), known, len)
-            return sum([known[w] for w in words])
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else "".join(BYTE_CHARS[b] for b in piece.encode())
+        ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        return ids
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes sure that ``ids`` has all of ``words``; others may be forgotten."""
+        if len(self.ids) + len(words) > self.cached:
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
+        if len(self.pieces) > self.cached:
+            self.pieces.clear()
+        new = [w for w in words if w not in self.ids]
+        rest = []
+        if self.pattern:
+            find, known, norm = self.pattern.findall, self.pieces, self.tokenizer.normalizer.normalize_str
+            ids, added = self.ids, self.added
+            for w in new:
+                text = w.decode("utf-8", "replace")
+                if not LATIN(text) or added and added.search(w):
+                    rest.append(w)
+                    continue
+                found = find(text.lower() if text.isascii() else norm(text))
+                if len(found) == 1:
+                    ids[w] = known.get(found[0]) or self._piece(found[0])
+                else:
+                    ids[w] = b"".join([known.get(p) or self._piece(p) for p in found])
+        else:
+            rest = new
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            self.ids.update(zip(part, self._whole(part)))
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for a, b in chunks(texts):
+            if not self.by_word:
+                yield from self._whole(texts[a:b])
+                continue
+            split = [t.split() for t in texts[a:b]]
+            self.learn(set().union(*split))
+            known = self.ids
+            for words in split:
+                yield b"".join([known[w] for w in words])
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that tasks that follow find its words."""
+    return WordEncoder(path)
+
+
+#: Printable characters of the Latin blocks, whose classes no Unicode version has changed.
+LATIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+").fullmatch
+
+
+def _byte_chars() -> list[str]:
+    """The character that byte-level models use for each byte: itself if printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
+
+def piece_pattern(spec: dict) -> str | None:
+    """The pattern of a tokenizer that cuts words by it, spells the pieces in bytes and merges them."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if len(steps) != 2 or steps[1].get("type") != "ByteLevel" or steps[1].get("use_regex") or steps[1].get("add_prefix_space"):
+        return None
+    names = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if (spec.get("model") or {}).get("type") != "BPE" or (spec["model"].get("dropout") or 0) or names != ["NFC", "Replace", "Lowercase"]:
+        return None
+    return steps[0]["pattern"].get("Regex")
 
 
 def splits_at_spaces(spec: dict) -> bool:
@@ -107,18 +155,19 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def counter(path: str) -> Callable[[], Callable[[bytes], int]]:
-    """Makes, on an executor, the function that counts a text's tokens."""
+def counts(path: str, texts: list[bytes]) -> list[int]:
+    """Tokens of each text, by the library that the file is for."""
+    if path.endswith(".model"):
+        model = sentence_model(path)
+        return [len(model.encode(t.decode("utf-8", "replace"), num_threads=1)) for t in texts]
+    return [len(ids) // 4 for ids in word_encoder(path).encode(texts)]
 
-    def make() -> Callable[[bytes], int]:
-        if path.endswith(".model"):
-            import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            return lambda text: len(model.encode(text.decode("utf-8", "replace"), num_threads=1))
-        return WordEncoder(path).count
+@cache
+def sentence_model(path: str):
+    import sentencepiece
 
-    return make
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text: str = "text") -> DataFrame:
@@ -143,12 +192,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     if known is not None:
         every = every.join(known, "digest", "left_anti")
     misses = every.groupBy("digest").agg(F.first("content").alias("content"))
-    make = counter(tokenizer)
 
-    def run(batches):
-        count = make()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [count(x) for x in utf8(batch.column("content"))]
+            sizes = counts(tokenizer, utf8(batch.column("content")))
             yield pa.RecordBatch.from_arrays([batch.column("digest").cast(pa.string()), pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
@@ -168,3 +215,13 @@ def read_cache(docs: DataFrame, cache: str, version: str) -> DataFrame | None:
 def op8_token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: str | None = None) -> DataFrame:
     out = count_tokens(docs.select("doc_id", "text"), tokenizer, cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+#: The tokenizer of the registered queries.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
