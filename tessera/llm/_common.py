@@ -104,12 +104,27 @@ def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+class Prefix:
+    """Prefix polynomial of values (uint64), for hashes of any of their runs."""
+
+    def __init__(self, values: np.ndarray, lane: int = 0):
+        up, self.down = powers(len(values) + 1, lane)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.down[starts]
+
+
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """Hash of each ``values[start:end]`` (uint64), from one prefix polynomial."""
-    up, down = powers(len(values) + 1, lane)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    return Prefix(values, lane).of(starts, ends)
+
+
+_all = np.arange(256, dtype=np.uint8)
+LOWER = np.where((_all >= 65) & (_all <= 90), _all + 32, _all).astype(np.uint8)
+#: ASCII digits, lower-case letters and all other characters than ASCII.
+LETTER = ((_all >= 97) & (_all <= 122)) | ((_all >= 48) & (_all <= 57)) | (_all >= 128)
 
 
 class Words:
@@ -135,6 +150,16 @@ class Words:
     def hashes(self) -> np.ndarray:
         return mix(runs(_BYTES[self.raw], self.start, self.end))
 
+    def bare(self) -> tuple[np.ndarray, np.ndarray, Prefix]:
+        """Starts and ends of the words without up to three marks at each edge, and A-Z in lower case."""
+        lower = LOWER[self.raw]
+        letter = LETTER[lower]
+        start, end = self.start, self.end
+        for _ in range(3):
+            start = np.where((start < end - 1) & ~letter[start], start + 1, start)
+            end = np.where((start < end - 1) & ~letter[end - 1], end - 1, end)
+        return start, end, Prefix(_BYTES[lower])
+
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
@@ -156,3 +181,26 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Reco
                 yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by ``keys`` (long or int columns)."""
+    pending: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if pending and key != last:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            pending.append(batch.slice(a, b - a))
+            last = key
+    if pending:
+        yield pa.Table.from_batches(pending)
