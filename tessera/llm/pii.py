@@ -131,7 +131,8 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float) ->
     margin = model.margin(x)
     order = np.argsort(-margin)
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
+    last = np.append(margin[order][1:] != margin[order][:-1], True)  # equal odds are accepted together
+    good = np.flatnonzero((right >= precision) & last)
     model.threshold = float(margin[order[good[-1]]]) if len(good) else float("inf")
 
 
@@ -186,7 +187,9 @@ def examples(seed: int, n: int) -> tuple[dict[str, np.ndarray], dict[str, np.nda
         kind = rng.choice(("phone", "card", "other", "other"))
         text = _with_luhn(rng, rng.choice(CARDS)) if kind == "card" else _fill(rng, rng.choice(PHONES if kind == "phone" else OTHERS))
         said = rng.random() < 0.75
-        before = rng.choice(cue[kind]) if said else "lorem ipsum "
+        # other numbers stand near words for phones and cards too
+        near = rng.choice(("phone", "card")) if kind == "other" and rng.random() < 0.3 else kind
+        before = rng.choice(cue[near]) if said else "lorem ipsum "
         after = rng.choice((" dolor", ".", ", ", "")) if kind != "other" or rng.random() < 0.8 else "x"
         rows.append(number_features(text, before, after))
         # without a cue only formats that nothing else has are called personal data
