@@ -111,12 +111,14 @@ def extended(seeded: DataFrame, window: int, count_only: bool) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     """``_rid, starts``: the word offsets in each text where a window begins that begins elsewhere too.
 
-    ``docs`` has ``_rid`` and ``text``; texts without repeats are missing from the result.
+    ``docs`` has ``_rid`` and ``text``; texts without repeats are missing from the result. All
+    columns of ``docs`` go through the join with the seeds, though only two are used: the exchange
+    of the texts is then the same that a caller's join with the result needs, and runs once.
     """
     found = anchors(docs, window)
     again = found.groupBy("anchor").count().where("count > 1").select("anchor")
     seeds = stored(found.join(again, "anchor", "left_semi").groupBy("_rid").agg(F.collect_set("anchor").alias("seeds")), "seeds")
-    seeded = docs.select("_rid", "text").join(seeds, "_rid").select("_rid", "text", "seeds")
+    seeded = docs.join(seeds, "_rid").select(*docs.columns, "seeds")
     twice = extended(seeded, window, True).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     hits = extended(seeded, window, False).join(twice, ["h1", "h2"], "left_semi")
     return hits.groupBy("_rid").agg(F.collect_list("start").alias("starts"))
