@@ -14,6 +14,7 @@ from ..functions import bits, crypto, entropy
 from ..operators import encodings as E
 from ..operators import erasure, index, integrity
 from ..operators import stats as S
+from ..sources import inspect
 from ..sources.table import Table, parse_range
 from ..streaming import append
 from . import evolution, types
@@ -173,6 +174,27 @@ def _(spark, d):
     return S.chunk_sizes(S.with_groups(read(spark, d, "supplier"), "s_suppkey", ROWS), ["s_name", "s_nationkey"])
 
 
+@register("q83_column_statistics", "select min(o_totalprice) as min, max(o_totalprice) as max, 0::bigint as null_count, count(*) as value_count, count(*) as row_count from orders")
+def _(spark, d):
+    return Table(read(spark, d, "orders"), "o_orderkey", ROWS).column_statistics("o_totalprice").drop("ndv")
+
+
+@register("q84_concat_column", "select c_custkey // 1000 as rg_id, string_agg(c_mktsegment, '' order by c_custkey) as c_mktsegment from customer group by 1")
+def _(spark, d):
+    return inspect.concat_column(S.with_groups(read(spark, d, "customer"), "c_custkey", ROWS), ["rg_id"], "c_custkey", "c_mktsegment")
+
+
+@register("q85_file_row_groups", "select count(*) as row_count from events")
+def _(spark, d):
+    return inspect.file_row_groups(spark, f"{d}/events.parquet").agg(F.sum("row_count").alias("row_count"))
+
+
+@register("q86_schema_compare", "select * from (values ('map', 'c_custkey', 'c_custkey', 'INT64', 'INT64', 'IDENTICAL'), ('map', 'c_name', 'c_name', 'STRING', 'STRING', 'IDENTICAL'), ('remove', 'c_nationkey', null, 'INT32', null, 'OPTIONAL'), ('remove', 'c_acctbal', null, 'FLOAT64', null, 'OPTIONAL'), ('remove', 'c_mktsegment', null, 'STRING', null, 'OPTIONAL')) t(action, old_name, new_name, old_type, new_type, detail)")
+def _(spark, d):
+    df = read(spark, d, "customer")
+    return inspect.compare_schemas(spark, types.from_spark(df.schema), types.from_spark(df.select("c_custkey", "c_name").schema))
+
+
 # --- encodings ---------------------------------------------------------------------------------
 
 RUNS = "select g, event_id, event_type, sum(c) over (partition by g order by event_id) as run_id from (select event_id // 2000 as g, event_id, event_type, case when event_type = lag(event_type) over (partition by event_id // 2000 order by event_id) then 0 else 1 end as c from events)"

@@ -78,6 +78,17 @@ class Table:
     def statistics(self, columns: list[str] | None = None) -> DataFrame:
         return self.stats if self.stats is not None else S.row_group_stats(self.with_groups(), columns)
 
+    def row_count(self) -> int:
+        """From the statistics alone where there are any."""
+        return self.stats.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0] if self.stats is not None else self.rows.count()
+
+    def column_statistics(self, name: str) -> DataFrame:
+        """One column's extremes and counts over all groups; the distinct count is an upper bound."""
+        self.columns([name])
+        s = self.statistics([name])
+        sums = [F.sum(f"{name}__{n}").alias(n) for n in ("null_count", "value_count", "ndv")]
+        return s.agg(F.min(f"{name}__min").alias("min"), F.max(f"{name}__max").alias("max"), *sums, F.sum("row_count").alias("row_count"))
+
     def full(self) -> DataFrame:
         return self.rows
 

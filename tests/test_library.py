@@ -372,3 +372,26 @@ def test_three_valued(spark):
     assert says(index.three_valued(Pred("v", "eq", (1,)))) == index.OPEN and says(index.three_valued(Pred("v", "eq", (1,)), member=F.lit(False))) == index.NOT
     assert says(index.and3(F.lit(index.MAY), F.lit(index.NOT), F.lit(index.OPEN))) == index.NOT and says(index.and3(F.lit(index.MAY), F.lit(index.MAY))) == index.MAY
     assert says(index.and3(F.lit(index.MAY), F.lit(index.OPEN))) == index.OPEN
+
+
+def test_inspection(spark, sf, tmp_path, capsys):
+    from tessera.__main__ import main
+    from tessera.sources import inspect
+
+    df = spark.read.parquet(f"{sf}/supplier.parquet")
+    assert inspect.group_of_row(250, 100, 300) == 2
+    with pytest.raises(DataError):
+        inspect.group_of_row(300, 100, 300)
+    assert '"INT32"' in inspect.extract_schema(df) and inspect.validate_schema(df, types.from_spark(df.schema)) == []
+    assert inspect.validate_schema(df, schema_of(s_suppkey="INT8", other="INT8"))[0] == "missing: other"
+    df.write.json(str(tmp_path / "j"))
+    assert len(inspect.infer_schema(spark, str(tmp_path / "j"), "json")) == len(df.columns)
+    assert main(["inspect", f"{sf}/supplier.parquet", "--rows", "2", "--output", "json"]) == 0
+    assert main(["stats", f"{sf}/supplier.parquet", "--position", "s_suppkey", "--output", "csv"]) == 0
+    assert main(["validate", f"{sf}/supplier.parquet", "--position", "s_suppkey"]) == 0
+    assert main(["groups", f"{sf}/supplier.parquet"]) == 0 and main(["schema", f"{sf}/supplier.parquet"]) == 0
+    assert main(["compare", f"{sf}/supplier.parquet", f"{sf}/customer.parquet"]) == 0
+    assert main(["convert", f"{sf}/supplier.parquet", str(tmp_path / "o"), "--to", "orc"]) == 0
+    assert "Supplier#000000000" in capsys.readouterr().out
+    t = Table(df, "s_suppkey", 4)
+    assert t.row_count() == df.count() and t.column_statistics("s_suppkey").first()["min"] == 0
