@@ -19,7 +19,7 @@ from tessera.llm.tokens import tokenizer_path
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier clean than toxic."""
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, spans=False).where(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; one longer text is hashed alone.
 CHUNK_BYTES = 1_000_000
+#: Bytes of an Arrow batch that goes to a Python worker, but for one longer row.
+BATCH_BYTES = 8 << 20
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Where ``spark.checkpoint.dir`` is unset: this process's own folder.
@@ -56,8 +58,19 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``, which bounds what a worker holds.
+
+    The limit is a setting of the session; it stays lowered, as plans are made later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(name, "64m").strip().lower()
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
+    size = int(now.rstrip("bkmg") or 0) * next((scale[c] for c in now.removesuffix("b")[-1:] if c in scale), 1)
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(each, schema)
 
 
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -99,7 +112,7 @@ def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
             run[0] = 1
             both.append(np.multiply.accumulate(run))
         have = (both[0], both[1])
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[lane] = have
     return have[0][:n], have[1][:n]
 
@@ -169,20 +182,6 @@ class Words:
         return np.arange(many.sum()) + np.repeat(self.offset[:-1] - np.cumsum(many) + many, many)
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = each(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
-
-    return df.mapInArrow(run, schema)
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, from batches that are sorted by ``keys`` (long or int columns)."""
     pending: list[pa.RecordBatch] = []

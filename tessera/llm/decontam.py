@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, mix, runs, utf8
+from ._common import Words, chunks, map_arrow, mix, runs, utf8
 
 ENTRY, STRIDE, BLOCK = 32, 32, 16
 K1, B = 1.2, 0.75
@@ -209,13 +209,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question:
                             hits[a + d].append({"item_id": index.items[i].item_id, "score": s, "question": q, "answer": r})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(hits, kind)], [*own, "hits"])
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    return mark(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    return mark(docs.toDF(*inner), benchmark).where(F.size("hits") == 0).select(*inner).toDF(*docs.columns)
 
 
 def op4_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, mix, runs, sorted_groups, stored, utf8, with_row_id
+from ._common import Words, chunks, map_arrow, mix, runs, sorted_groups, stored, utf8, with_row_id
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Coordinates of the vector of minimum hashes.
@@ -80,7 +80,7 @@ def sign(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * VECTOR, pa.array(mins.view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a:b]), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size.astype(np.int32)), flat], ["_rid", "set1", "set2", "size", "mins"])
 
-    return docs.select("_rid", "text").mapInArrow(run, "_rid long, set1 long, set2 long, size int, mins array<int>")
+    return map_arrow(docs.select("_rid", "text"), run, "_rid long, set1 long, set2 long, size int, mins array<int>")
 
 
 def _children(node: Column, fresh: Column, mins: Column) -> Column:
@@ -139,13 +139,11 @@ def _intersections(s: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
         out += member @ member.T
     flat = out.ravel()
     for n in range(2, FREQUENT + 1):
-        own = owner[first[df == n][:, None] + np.arange(n)] if (df == n).any() else np.zeros((0, n), np.int64)
+        own = owner[first[df == n][:, None] + np.arange(n)]
         for i in range(n):
             for j in range(n):
                 if i != j and len(own):
-                    flat += np.bincount(own[:, i] * m + own[:, j], minlength=m * m).astype(np.float32) if len(own) * 4 > m * m else 0
-                    if len(own) * 4 <= m * m:
-                        np.add.at(flat, own[:, i] * m + own[:, j], 1)
+                    np.add.at(flat, own[:, i] * m + own[:, j], 1)
     return out
 
 
@@ -160,8 +158,8 @@ def linked(sizes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 def compare(texts: list[bytes], reps: np.ndarray, leaf: int, leaves: pa.ListArray, block: np.ndarray, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, smallest set that it is connected with here, links counted here) of a bucket or two blocks of one."""
     m = len(texts)
-    s, offset = shingle_sets(Words(texts), shingle)
-    sizes = np.diff(offset)
+    parts = [shingle_sets(Words(texts[a:b]), shingle) for a, b in chunks(texts)]
+    s, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
     pairs = linked(sizes, _intersections(s, np.repeat(np.arange(m), sizes), m), similarity)
     if block.min() != block.max():
         pairs &= block[:, None] != block[None, :]
@@ -217,7 +215,7 @@ def links_and_edges(texts: DataFrame, leaves: DataFrame, shingle: int = SHINGLE,
         if out:
             yield _edges(out)
 
-    return dealt.mapInArrow(run, "rep long, root long, links long")
+    return map_arrow(dealt, run, "rep long, root long, links long")
 
 
 def _edges(parts: list[tuple]) -> pa.RecordBatch:
@@ -286,8 +284,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
-    gone = near_duplicates(docs, shingle, similarity).where("not keep").select("_rid")
-    return with_row_id(docs).join(gone, "_rid", "left_anti").select(*docs.columns)
+    rid = "_rid"
+    while rid in docs.columns:
+        rid += "_"
+    gone = near_duplicates(docs, shingle, similarity).where("not keep").select(F.col("_rid").alias(rid))
+    return with_row_id(docs, rid).join(gone, rid, "left_anti").select(*docs.columns)
 
 
 def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:

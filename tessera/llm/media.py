@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import utf8
+from ._common import map_arrow, utf8
 
 STORED_RATE, TARGET_RATE = 12_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
@@ -167,7 +167,7 @@ def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
             rest = [n for n in batch.schema.names if n != "_raw"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), media], [*rest, "media"])
 
-    return out.mapInArrow(run, schema)
+    return map_arrow(out, run, schema)
 
 
 def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -191,7 +191,7 @@ def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media")
                 flat = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (PATCH * MELS), pa.array(np.concatenate(tensors)))
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), k.type), pa.array(n, pa.int32()), pa.array(start), pa.array(end), pa.array(active), flat], ["key", "patch", "start_s", "end_s", "active", "log_mel"])
 
-    out = source.mapInArrow(run, f"key {kind}, patch int, start_s double, end_s double, active double, log_mel array<float>")
+    out = map_arrow(source, run, f"key {kind}, patch int, start_s double, end_s double, active double, log_mel array<float>")
     return out.withColumnRenamed("key", key)
 
 
@@ -223,6 +223,6 @@ def op10_media_audio(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(list(c)) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OP10_SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, OP10_SCHEMA)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import utf8
+from ._common import map_arrow, utf8
 from .tokens import word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
@@ -27,6 +27,12 @@ def binary_lengths(total: int, longest: int) -> list[int]:
     return [longest] * (total // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, with_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, bucket, ids, sequence_id, offset``.
 
@@ -45,20 +51,22 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            owners, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-            for first in range(0, len(texts), 512):
-                rows: list[tuple] = []
-                for doc_id, found in zip(owners[first : first + 512], encoder.encode(texts[first : first + 512])):
-                    ids = found + end
-                    total, start = len(ids) // 4, 0
-                    for length in binary_lengths(total, longest):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(piece), total, length.bit_length() - 1, piece if with_ids else None))
-                        start += length
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"])
-
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
+            rows: list[tuple] = []
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(utf8(batch.column("text")))):
+                ids = found + end
+                total, start = len(ids) // 4, 0
+                for length in binary_lengths(total, longest):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    rows.append((doc_id, start, length, zlib.crc32(piece), total, length.bit_length() - 1, piece if with_ids else None))
+                    start += length
+                if len(rows) >= 4096:
+                    yield _pieces(rows)
+                    rows = []
+            if rows:
+                yield _pieces(rows)
+        encoder.forget()
+
+    pieces = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

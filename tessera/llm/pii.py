@@ -383,6 +383,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Overlapping spans become one mark, that of the first. Other columns stay; the columns keep
     their order.
     """
+    # plain names inside, so that no column of docs can clash with those of the search
+    columns, at = docs.columns, docs.columns.index(text)
+    docs, text = docs.toDF(*[f"c{i}" for i in range(len(columns))]), f"c{at}"
     found = find_spans(docs, text)
     ordered = F.sort_array(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     merged = F.aggregate(
@@ -396,7 +399,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     pieces = F.transform("_marks", lambda m, i: F.concat(F.substring(F.col(text), F.get(ends, i) + 1, m["start"] - F.get(ends, i)), F.get(marks, m["kind"])))
     rest = F.substring(F.col(text), F.element_at(ends, -1) + 1, F.length(text))
     clean = F.when(F.size("_marks") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
-    return found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return found.select(*[(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LETTER, LOWER, Words, chunks, mix, utf8
+from ._common import LETTER, LOWER, Words, chunks, map_arrow, mix, utf8
 from .toxicity import logistic
 
 #: Labelled rows of each label and unlabelled rows that are read to fit.
@@ -164,7 +164,7 @@ def sample_views(docs: DataFrame, ids: list[tuple[int, int]]) -> tuple[np.ndarra
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), pa.array(text.tolist()), pa.array(meta.tolist())], ["doc_id", "y", "text", "meta"])
 
-    rows = sorted(tuple(r) for r in own.mapInArrow(run, "doc_id long, y int, text array<double>, meta array<double>").collect())
+    rows = sorted(tuple(r) for r in map_arrow(own, run, "doc_id long, y int, text array<double>, meta array<double>").collect())
     rows.sort(key=lambda r: int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]))
     shaped = lambda k, width: np.array([r[k] for r in rows], float).reshape(len(rows), width)
     return shaped(2, TEXT_FEATURES), shaped(3, META_FEATURES), np.array([r[1] for r in rows], float)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
                 found = fitted.scores(text, meta) if fitted else [[None] * (b - a)] * 3
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(x, pa.float64()) for x in found)], [*own, "score", "text_score", "meta_score"])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return map_arrow(docs.select(*own), run, schema)
 
 
 def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,15 +16,17 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, shared_dir, utf8
+from ._common import CHUNK_BYTES, chunks, map_arrow, shared_dir, utf8
 
 #: Words that an encoder remembers before it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
@@ -62,8 +64,8 @@ class WordEncoder:
         ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that ``ids`` has all of ``words``; others may be forgotten."""
+    def learn(self, words: list[bytes]) -> None:
+        """Makes sure that ``ids`` has all of the (distinct) ``words``; others may be forgotten."""
         if len(self.ids) + len(words) > self.cached:
             self.ids = {w: self.ids[w] for w in words if w in self.ids}
         if len(self.pieces) > self.cached:
@@ -71,14 +73,16 @@ class WordEncoder:
         new = [w for w in words if w not in self.ids]
         rest = []
         if self.pattern:
-            find, known, norm = self.pattern.findall, self.pieces, self.tokenizer.normalizer.normalize_str
-            ids, added = self.ids, self.added
+            ids, find, known, added = self.ids, self.pattern.findall, self.pieces, self.added
+            if added and not added.search(b"\n".join(new)):
+                added = None
             for w in new:
                 text = w.decode("utf-8", "replace")
-                if not LATIN(text) or added and added.search(w):
+                if not (text.isprintable() if text.isascii() else LATIN(text)) or added and added.search(w):
                     rest.append(w)
                     continue
-                found = find(text.lower() if text.isascii() else norm(text))
+                # none of these characters combines, so only the case is left to normalise
+                found = find(text.lower())
                 if len(found) == 1:
                     ids[w] = known.get(found[0]) or self._piece(found[0])
                 else:
@@ -89,22 +93,40 @@ class WordEncoder:
             part = rest[i : i + 4096]
             self.ids.update(zip(part, self._whole(part)))
 
+    def forget(self) -> None:
+        """Frees the words; other tasks of the worker process may not need them."""
+        self.ids, self.pieces = {}, {}
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 4 * CHUNK_BYTES):  # the longer, the fewer distinct words
             if not self.by_word:
                 yield from self._whole(texts[a:b])
                 continue
-            split = [t.split() for t in texts[a:b]]
-            self.learn(set().union(*split))
-            known = self.ids
-            for words in split:
-                yield b"".join([known[w] for w in words])
+            try:
+                column = pa.array(texts[a:b], pa.binary()).cast(pa.string())
+            except pa.ArrowInvalid:
+                column = pa.array([t.decode("utf-8", "replace") for t in texts[a:b]])
+            split = pc.ascii_split_whitespace(column)
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.cast(pa.binary()).to_pylist()
+            self.learn(words)
+            parts = [self.ids[w] for w in words]
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            flat, start = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+            # the ids of all words in turn, picked from those of the distinct words
+            word = coded.indices.to_numpy()
+            n = size[word]
+            end = np.cumsum(n)
+            ids = flat[np.arange(n.sum()) + np.repeat(start[word] - end + n, n)]
+            border = np.concatenate([[0], end])[split.offsets.to_numpy()].tolist()
+            for i, j in zip(border, border[1:]):
+                yield ids[i:j].tobytes()
 
 
 @cache
 def word_encoder(path: str) -> WordEncoder:
-    """One for each worker process, so that tasks that follow find its words."""
+    """One for each worker process: reading the vocabulary takes longer than a small task."""
     return WordEncoder(path)
 
 
@@ -197,8 +219,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         for batch in batches:
             sizes = counts(tokenizer, utf8(batch.column("content")))
             yield pa.RecordBatch.from_arrays([batch.column("digest").cast(pa.string()), pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], ["digest", "tokenizer", "n_tokens"])
+        if not tokenizer.endswith(".model"):
+            word_encoder(tokenizer).forget()
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    map_arrow(misses, run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     return keyed.join(read_cache(docs, cache, version), "digest", "left")
 
 
@@ -208,8 +232,11 @@ def read_cache(docs: DataFrame, cache: str, version: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # only runs at the same time can append a digest twice; without an aggregate in between, Spark
+    # can split the join where one digest has very many documents
+    twice = rows.groupBy("digest").count().where("count > 1").limit(1).count()
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")) if twice else rows
 
 
 def op8_token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: str | None = None) -> DataFrame:

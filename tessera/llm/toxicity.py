@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ._common import Words, chunks, mix, utf8
+from ._common import Words, chunks, map_arrow, mix, utf8
 
 #: Labelled rows that are read to fit, of each label, and their longest text in words.
 TRAIN_ROWS, TRAIN_WORDS = 3_000, 3_000
@@ -299,7 +299,13 @@ def score(docs: DataFrame, model: Field, text: str = "text", spans: bool = True)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *columns], [*own, "score", *["spans"] * spans])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return map_arrow(docs.select(*own), run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Field, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``most``, with just their own columns."""
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    return score(docs.toDF(*inner), model, spans=False).where(F.col("score") < most).select(*inner).toDF(*docs.columns)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Field:
