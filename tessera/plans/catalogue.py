@@ -314,7 +314,7 @@ def _(spark, d):
         ordered = E.is_sorted(df, ["rg_id"], "event_id", c).agg(F.bool_and("is_sorted").alias("ordered"))
         few = E.low_cardinality(df, [c], 256).select(F.col("low_cardinality").alias("few"))
         # each side is one row
-        one = few.crossJoin(ordered).select(F.lit(c).alias("column_name"), F.lit(kind).alias("logical_type"), "ordered", "few")
+        one = few.withColumn("_k", F.lit(1)).join(ordered.withColumn("_k", F.lit(1)), "_k").select(F.lit(c).alias("column_name"), F.lit(kind).alias("logical_type"), "ordered", "few")
         out = one if out is None else out.unionByName(one)
     no = F.lit(False)
     return out.select("column_name", "logical_type", E.advise_encoding(F.col("logical_type"), F.col("ordered"), F.col("few"), no, no).alias("encoding"))
