@@ -357,17 +357,17 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", bits.count_byte(F.col("text"), "e").cast("long").alias("n"))
 
 
-@register("q71_pack_bits", "select o_orderkey // 10 as k, list(o_orderkey % 8 order by o_orderkey) as back from orders group by 1")
+@register("q71_pack_bits", "select o_orderkey // 10 as k, string_agg((o_orderkey % 8)::varchar, ',' order by o_orderkey) as back from orders group by 1")
 def _(spark, d):
     lists = read(spark, d, "orders").groupBy(F.expr("o_orderkey div 10").alias("k")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("v"))
     small = F.transform("v", lambda x: F.pmod(x, F.lit(8)))
-    return lists.select("k", bits.unpack_bits(bits.pack_bits(small, 3), 3, F.size("v")).alias("back"))
+    return lists.select("k", F.array_join(bits.unpack_bits(bits.pack_bits(small, 3), 3, F.size("v")).cast("array<string>"), ",").alias("back"))
 
 
-@register("q72_pack_booleans", "select o_orderkey // 10 as k, list(o_orderstatus = 'O' order by o_orderkey) as back from orders group by 1")
+@register("q72_pack_booleans", "select o_orderkey // 10 as k, string_agg((o_orderstatus = 'O')::varchar, ',' order by o_orderkey) as back from orders group by 1")
 def _(spark, d):
     lists = read(spark, d, "orders").groupBy(F.expr("o_orderkey div 10").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_orderstatus") == "O").alias("b")))), lambda x: x["b"]).alias("v"))
-    return lists.select("k", bits.unpack_flags(bits.pack_flags(F.col("v")), F.size("v")).alias("back"))
+    return lists.select("k", F.array_join(bits.unpack_flags(bits.pack_flags(F.col("v")), F.size("v")).cast("array<string>"), ",").alias("back"))
 
 
 @register("q73_little_endian", "select o_orderkey, (o_orderkey * 65537)::decimal(20, 0) as back, reverse_hex as le from (select o_orderkey, concat(substr(h, 15, 2), substr(h, 13, 2), substr(h, 11, 2), substr(h, 9, 2), substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)) as reverse_hex from (select o_orderkey, lpad(hex(o_orderkey * 65537), 16, '0') as h from orders))")
