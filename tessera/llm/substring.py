@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ._common import Words, chunks, mix, runs, stored, utf8, with_row_id
+from ._common import Words, chunks, map_arrow, mix, runs, stored, utf8, with_row_id
 
 
 def leaders(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,13 +74,19 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 text, anchor = anchor_positions(Words(texts[a:b]), window)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][text]), _long(anchor)], ["_rid", "anchor"])
 
-    return docs.select("_rid", "text").mapInArrow(run, "_rid long, anchor long")
+    return map_arrow(docs.select("_rid", "text"), run, "_rid long, anchor long")
 
 
-def extended(seeded: DataFrame, window: int, count_only: bool) -> DataFrame:
-    """The windows that the seeds of each text lead: ``h1, h2`` with ``n``, or with ``_rid, start``.
+#: What ``extended`` gives: windows with their counts in a batch; those that are alone in their
+#: batch, to be looked up; or the starts of those that the batch itself repeats, by text.
+EXTENDED = {"counts": "h1 long, h2 int, n int", "alone": "h1 long, h2 int, _rid long, start int", "sure": "_rid long, sure array<int>"}
 
-    With ``count_only`` the rows of a batch that are equal are summed before they leave it.
+
+def extended(seeded: DataFrame, window: int, what: str) -> DataFrame:
+    """The windows that the seeds of each text lead, in one of the forms of ``EXTENDED``.
+
+    A very common passage is repeated within nearly every batch, so its windows are summed there
+    and never meet in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,34 +100,43 @@ def extended(seeded: DataFrame, window: int, count_only: bool) -> DataFrame:
                 first = first[own[np.minimum(spot, len(own) - 1)] == low] if len(own) else first[:0]
                 h1 = mix(runs(h, first, first + window)).view(np.int64)
                 h2 = (mix(runs(h, first, first + window, 1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                if count_only:
-                    order = np.lexsort((h2, h1))
-                    h1, h2 = h1[order], h2[order]
-                    new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(h1)])
-                    n = np.diff(np.append(new, len(h1))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[new]), pa.array(h2[new]), pa.array(n)], ["h1", "h2", "n"])
+                order = np.lexsort((h2, h1))
+                same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                new = np.flatnonzero(np.append(True, ~same)[: len(h1)])
+                n = np.diff(np.append(new, len(h1)))
+                if what == "counts":
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[order][new]), pa.array(h2[order][new]), pa.array(n.astype(np.int32))], ["h1", "h2", "n"])
+                    continue
+                many = np.zeros(len(h1), bool)
+                many[order] = np.repeat(n > 1, n)
+                pick = np.flatnonzero(many if what == "sure" else ~many)
+                text = words.text_of()[first[pick]]
+                start = (first[pick] - words.offset[:-1][text]).astype(np.int32)
+                if what == "alone":
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[pick]), pa.array(h2[pick]), pa.array(rid[a:b][text]), pa.array(start)], ["h1", "h2", "_rid", "start"])
                 else:
-                    text = words.text_of()[first]
-                    start = (first - words.offset[:-1][text]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(rid[a:b][text]), pa.array(start)], ["h1", "h2", "_rid", "start"])
+                    of, at = np.unique(text, return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(text)).astype(np.int32)), pa.array(start))
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][of]), lists], ["_rid", "sure"])
 
-    return seeded.mapInArrow(run, "h1 long, h2 int, n int" if count_only else "h1 long, h2 int, _rid long, start int")
+    return map_arrow(seeded, run, EXTENDED[what])
 
 
-def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``_rid, starts``: the word offsets in each text where a window begins that begins elsewhere too.
+def with_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with ``starts`` and ``sure``: word offsets where a window begins that begins elsewhere too.
 
-    ``docs`` has ``_rid`` and ``text``; texts without repeats are missing from the result. All
-    columns of ``docs`` go through the join with the seeds, though only two are used: the exchange
-    of the texts is then the same that a caller's join with the result needs, and runs once.
+    ``docs`` has ``_rid`` and ``text``; both arrays are null where there are none. All columns go
+    through the join with the seeds, though only two are used there: the exchange of the texts is
+    then the same for all joins, and runs once.
     """
     found = anchors(docs, window)
     again = found.groupBy("anchor").count().where("count > 1").select("anchor")
     seeds = stored(found.join(again, "anchor", "left_semi").groupBy("_rid").agg(F.collect_set("anchor").alias("seeds")), "seeds")
     seeded = docs.join(seeds, "_rid").select(*docs.columns, "seeds")
-    twice = extended(seeded, window, True).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    hits = extended(seeded, window, False).join(twice, ["h1", "h2"], "left_semi")
-    return hits.groupBy("_rid").agg(F.collect_list("start").alias("starts"))
+    twice = extended(seeded, window, "counts").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    alone = extended(seeded, window, "alone").join(twice, ["h1", "h2"], "left_semi")
+    starts = alone.groupBy("_rid").agg(F.collect_list("start").alias("starts"))
+    return docs.join(starts, "_rid", "left").join(extended(seeded, window, "sure"), "_rid", "left")
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -141,16 +156,18 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     table stays empty; columns of ``docs`` named like those added are replaced.
     """
     own = [c for c in docs.columns if c.lower() not in ("kept", "n_words", "n_removed", "repeats")]
-    base = with_row_id(docs.select(*own))
-    marked = base.join(repeated_windows(base, window), "_rid", "left").drop("_rid")
-    schema = docs.select(*own).schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("repeats", DataType.fromDDL("array<array<int>>"))
+    # plain names inside, so that no column of docs can clash with those of the joins
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(own)]
+    base = with_row_id(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, inner)]))
+    marked = with_repeats(base, window)
+    schema = docs.select(*[f"`{c}`" for c in own]).schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("repeats", DataType.fromDDL("array<array<int>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, gone, stretches = [], [], [], []
-            for text, starts in zip(utf8(batch.column("text")), batch.column("starts")):
+            for text, *both in zip(utf8(batch.column("text")), batch.column("starts"), batch.column("sure")):
                 words = text.split()
-                at = starts.values.to_numpy() if starts.is_valid else np.zeros(0, np.int32)
+                at = np.concatenate([x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in both])
                 out = covered(at, len(words), window)
                 edge = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0))
                 kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]) if len(at) else b" ".join(words))
@@ -158,9 +175,9 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 gone.append(int(out.sum()))
                 stretches.append(edge.reshape(-1, 2).tolist())
             columns = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(stretches, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *columns], [*own, "kept", "n_words", "n_removed", "repeats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in inner), *columns], [*own, "kept", "n_words", "n_removed", "repeats"])
 
-    return marked.select(*own, "starts").mapInArrow(run, schema)
+    return map_arrow(marked.select(*inner, "starts", "sure"), run, schema)
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
