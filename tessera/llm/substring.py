@@ -65,13 +65,22 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``_rid, anchor`` of every winnowed position of ``docs`` (``_rid``, ``text``)."""
+    """``_rid, anchor`` of the winnowed positions of ``docs`` (``_rid``, ``text``), at most two for each text and anchor.
+
+    Two are enough to know that an anchor occurs again; a text that repeats a phrase over and over
+    would give as many as it has words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, texts = batch.column("_rid").to_numpy(), utf8(batch.column("text"))
             for a, b in chunks(texts):
                 text, anchor = anchor_positions(Words(texts[a:b]), window)
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                third = np.zeros(len(text), bool)
+                third[2:] = (text[2:] == text[:-2]) & (anchor[2:] == anchor[:-2])
+                text, anchor = text[~third], anchor[~third]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][text]), _long(anchor)], ["_rid", "anchor"])
 
     return map_arrow(docs.select("_rid", "text"), run, "_rid long, anchor long")
