@@ -416,6 +416,18 @@ def _(spark, d):
     return few.select("event_type", entropy.advise_codec(data, entropy.entropy(F.substring(data, 1, entropy.SAMPLE))).alias("codec"))
 
 
+UNITS = f"select event_type, event_id // {EVENTS} as rg_id, hex(encode(string_agg(props, '' order by event_id))) as x from events group by 1, 2"
+UNIT_BYTES = f"select event_type, rg_id, x[1:28] as head, length(x) // 2 as n_bytes, least(length(x) // 2, {entropy.SAMPLE}) as n, unnest(regexp_extract_all(x[1:{2 * entropy.SAMPLE}], '..')) as b from ({UNITS})"
+UNIT_ENTROPY = f"select event_type, rg_id, head, n_bytes, log2(n) - sum(c * log2(c)) / n as h from (select event_type, rg_id, head, n_bytes, n, b, count(*) as c from ({UNIT_BYTES}) group by all) group by event_type, rg_id, head, n_bytes, n"
+UNIT_MAGIC = " or ".join(f"starts_with(head, '{m}')" for m in entropy.MAGIC.values())
+
+
+@register("q87_codec_advisor_units", f"select event_type, rg_id, n_bytes, round(h, 6) as entropy, case when n_bytes < {entropy.LEAST} or {UNIT_MAGIC} or h > {entropy.DENSE} then 'NONE' else 'ZSTD' end as codec from ({UNIT_ENTROPY})")
+def _(spark, d):
+    grouped = S.with_groups(read(spark, d, "events"), "event_id", EVENTS)
+    return entropy.advise_units(grouped, ["event_type", "rg_id"], "event_id", "props").withColumn("entropy", F.round("entropy", 6))
+
+
 @register("q40_compression_ratio_estimate", f"select doc_id, round(1 / (1 + exp(-15 * (h / 8 - 0.6))), 5) as ratio, h > 7.4 as dense from ({ENTROPY.format(text='text')})")
 def _(spark, d):
     found = entropy.entropy_by_shuffle(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
