@@ -11,7 +11,7 @@ text, by their word trigrams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,8 +69,49 @@ def answer_start(words: list[bytes]) -> int:
     return ends[-1] + 1 if ends else len(words) // 2
 
 
-def build(rows: list[tuple[int, str | None]]) -> Index:
-    """The index of (item_id, text); items without words are left out."""
+@dataclass
+class Statistics:
+    """What BM25 weights need of all entries: in how many each term is, how many there are, their mean length."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    entries: int
+    mean: float
+
+
+def cut(h: np.ndarray) -> list[np.ndarray]:
+    """An item's word hashes as entries."""
+    return np.array_split(h, -(-len(h) // ENTRY)) if len(h) else []
+
+
+def statistics(texts: Iterable[str | None]) -> Statistics:
+    """The statistics of all items' entries, from one pass; what is held grows with the distinct terms."""
+    terms, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    entries = total = held = 0
+    pending: list[np.ndarray] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        every, at = np.unique(np.concatenate([terms, *pending]), return_inverse=True)
+        return every, np.bincount(at, np.concatenate([df, np.ones(held, np.int64)]), len(every)).astype(np.int64)
+
+    for text in texts:
+        for part in cut(bare_hashes(Words([(text or "").encode()]))):
+            entries, total = entries + 1, total + len(part)
+            pending.append(np.unique(part))
+            held += len(pending[-1])
+        if held > CELLS:
+            terms, df = merged()
+            pending, held = [], 0
+    return Statistics(*merged(), entries, total / max(entries, 1))
+
+
+def build(rows: list[tuple[int, str | None]], of_all: Statistics | None = None) -> Index:
+    """The index of (item_id, text); items without words are left out.
+
+    ``of_all``: the statistics of all items where ``rows`` are some of them, so that a weight
+    doesn't depend on which items share an index.
+    """
+    of_all = of_all or statistics(text for _, text in rows)
     items, entries, item_of = [], [], []
     for item_id, text in rows:
         raw = (text or "").encode()
@@ -79,22 +120,20 @@ def build(rows: list[tuple[int, str | None]]) -> Index:
         if not len(h):
             continue
         size = min(3, len(h))
-        grams, cut = trigrams(h, size), max(answer_start(raw.split()) - size + 1, 0)
-        items.append(Item(item_id, np.unique(grams[:cut]), np.unique(grams[cut:]), size))
-        parts = -(-len(h) // ENTRY)
-        for part in np.array_split(h, parts):
+        grams, middle = trigrams(h, size), max(answer_start(raw.split()) - size + 1, 0)
+        items.append(Item(item_id, np.unique(grams[:middle]), np.unique(grams[middle:]), size))
+        for part in cut(h):
             entries.append(part)
             item_of.append(len(items) - 1)
     terms = np.unique(np.concatenate(entries)) if entries else np.zeros(0, np.uint64)
-    n, blocks = len(entries), -(-len(entries) // BLOCK)
-    mean = sum(map(len, entries)) / max(n, 1)
+    blocks = -(-len(entries) // BLOCK)
     found = [np.unique(np.searchsorted(terms, e), return_counts=True) for e in entries]
-    df = np.bincount(np.concatenate([t for t, _ in found]), minlength=len(terms)) if n else np.zeros(0)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = of_all.df[np.searchsorted(of_all.terms, terms)]
+    idf = np.log(1 + (of_all.entries - df + 0.5) / (df + 0.5))
     rows_at = np.full((len(terms), blocks), -1, np.int32)
     weights: list[np.ndarray] = []
     for e, (t, tf) in enumerate(found):
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(entries[e]) / mean))
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(entries[e]) / of_all.mean))
         w = w / w.sum()
         for term, value in zip(t.tolist(), w.tolist()):
             r = rows_at[term, e // BLOCK]
@@ -170,7 +209,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question:
     """``docs`` with ``hits``: the benchmark items that each text holds, with scores; no shuffle.
 
     ``benchmark`` has item_id and text. Its items go to the executors, ``SHARD_WORDS`` words at a
-    time: each pass over ``docs`` has one index of bounded size. Null and empty texts and items
+    time: each pass over ``docs`` has one index of bounded size, with weights from all items. Null and empty texts and items
     match nothing; items of one or two words are compared whole; repeated rows and items each have
     their own hits; null item ids stay null. A ``hits`` column of ``docs`` is replaced; an empty
     table on either side gives no hits.
@@ -181,14 +220,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question:
     batch: list[tuple[int, str]] = []
     size = 0
     passes = []
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    of_all = statistics(row[1] for row in items.toLocalIterator())
+    for row in items.toLocalIterator():
         batch.append((row[0], row[1]))
         size += row[1].count(" ") + 1
         if size >= SHARD_WORDS:
-            passes.append(spark.sparkContext.broadcast(build(batch)))
+            passes.append(spark.sparkContext.broadcast(build(batch, of_all)))
             batch, size = [], 0
     if batch:
-        passes.append(spark.sparkContext.broadcast(build(batch)))
+        passes.append(spark.sparkContext.broadcast(build(batch, of_all)))
     out = out.withColumn("hits", F.array().cast(HITS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     schema = out.schema
