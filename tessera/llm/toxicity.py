@@ -26,8 +26,8 @@ from pyspark.sql.types import DataType
 
 from ._common import Words, chunks, map_arrow, mix, utf8
 
-#: Labelled rows that are read to fit, of each label, and their longest text in words.
-TRAIN_ROWS, TRAIN_WORDS = 3_000, 3_000
+#: Labelled rows that are read to fit, of each label; their texts are whole, whatever their length.
+TRAIN_ROWS = 3_000
 #: Weights.
 TABLE_BITS = 18
 STRIP = 64
@@ -240,8 +240,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, longest: int = TRAIN_WORDS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` texts of each label, of at most ``longest`` words; those with the lowest hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[list[bytes], np.ndarray]:
+    """At most ``rows`` whole texts of each label, those with the lowest hash of doc_id.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out. A doc_id that is labelled twice
     counts as toxic if either says so; null labels and ids are not used.
@@ -255,7 +255,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     if not ids:
         return [], np.zeros(0, int)
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _y int"))  # 2 x rows at most
-    own = docs.select("doc_id", "text").where(F.length("text") <= 8 * longest).join(few, "doc_id")
+    own = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id")
     found = sorted((r["doc_id"], r["text"], r["_y"]) for r in own.collect())
     return [t.encode() for _, t, _ in found], np.array([y for _, _, y in found], int)
 
