@@ -93,7 +93,7 @@ def _walk(tree, x: np.ndarray) -> np.ndarray:
 
 
 def fit_boosted(x: np.ndarray, y: np.ndarray, features: tuple[str, ...], rounds: int = 24, depth: int = 3, rate: float = 0.3) -> Boosted:
-    """Gradient boosting with Newton leaves on the logistic loss."""
+    """Gradient boosting with Newton leaves on the logistic loss; every distinct value of a feature is tried as a cut."""
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
         value = float(rate * g[rows].sum() / (h[rows].sum() + 1))
@@ -101,14 +101,14 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, features: tuple[str, ...], rounds:
             return value
         best, whole = (1e-3, None), g[rows].sum() ** 2 / (h[rows].sum() + 1)
         for i in range(x.shape[1]):
-            own = x[rows, i]
-            for cut in np.unique(own)[:-1][:24]:
-                low = own <= cut
-                gl, hl = g[rows][low].sum(), h[rows][low].sum()
-                gr, hr = g[rows].sum() - gl, h[rows].sum() - hl
-                gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - whole
-                if gain > best[0]:
-                    best = (gain, (i, float(cut)))
+            values, at = np.unique(x[rows, i], return_inverse=True)
+            gl, hl = (np.cumsum(np.bincount(at, part[rows], len(values)))[:-1] for part in (g, h))
+            if not len(gl):
+                continue
+            gr, hr = g[rows].sum() - gl, h[rows].sum() - hl
+            gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - whole
+            if gain.max() > best[0]:
+                best = (gain.max(), (i, float(values[gain.argmax()])))
         if best[1] is None:
             return value
         i, cut = best[1]
