@@ -164,13 +164,15 @@ class Words:
         return mix(runs(_BYTES[self.raw], self.start, self.end))
 
     def bare(self) -> tuple[np.ndarray, np.ndarray, Prefix]:
-        """Starts and ends of the words without up to three marks at each edge, and A-Z in lower case."""
+        """Starts and ends of the words without the marks at their edges, and A-Z in lower case; of a word of marks alone the middle one is left."""
         lower = LOWER[self.raw]
         letter = LETTER[lower]
-        start, end = self.start, self.end
-        for _ in range(3):
-            start = np.where((start < end - 1) & ~letter[start], start + 1, start)
-            end = np.where((start < end - 1) & ~letter[end - 1], end - 1, end)
+        at = np.arange(len(lower))
+        following = np.minimum.accumulate(np.where(letter, at, len(lower))[::-1])[::-1][self.start]
+        previous = np.maximum.accumulate(np.where(letter, at, -1))[self.end - 1]
+        middle = self.start + (self.end - self.start) // 2
+        marks = following >= self.end
+        start, end = np.where(marks, middle, following), np.where(marks, middle, previous) + 1
         return start, end, Prefix(_BYTES[lower])
 
     def text_of(self) -> np.ndarray:
