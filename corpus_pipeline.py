@@ -39,8 +39,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of power-of-two length, in their buckets."""
-    return packing.decompose(docs, tokenizer_path(), with_ids=False).drop("ids")
+    """All documents as pieces of power-of-two length with their ids, in their buckets."""
+    return packing.decompose(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
