@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, utf8
+from ._common import map_arrow
 
 STORED_RATE, TARGET_RATE = 12_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
@@ -170,11 +170,31 @@ def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(out, run, schema)
 
 
+def patch_batch(found: Features) -> pa.RecordBatch:
+    """A row per patch: patch, start_s, end_s, active (share of frames in segments), log_mel (tensors)."""
+    on = np.zeros(len(found.mel), bool)
+    for a, b in found.spans:
+        on[a:b] = True
+    start, end, tensors = zip(*found.patches())
+    active = [float(on[i : i + PATCH].mean()) for i in range(0, len(on), PATCH)]
+    flat = pa.ListArray.from_arrays(np.arange(len(tensors) + 1, dtype=np.int32) * (PATCH * MELS), pa.array(np.concatenate(tensors).ravel()))
+    columns = [pa.array(range(len(tensors)), pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(active, pa.float64()), tensor_column(flat)]
+    return pa.RecordBatch.from_arrays(columns, ["patch", "start_s", "end_s", "active", "log_mel"])
+
+
+def patch_digest(patches: pa.RecordBatch) -> str:
+    """Count of the patches, checksum of their spans and shares, checksum of their tensors."""
+    spans = np.stack([patches.column(c).to_numpy() for c in ("start_s", "end_s", "active")])
+    tensors = np.ascontiguousarray(patches.column("log_mel").to_numpy_ndarray())
+    return f"{len(tensors)}:{zlib.crc32(spans.astype('<f8').tobytes()):08x}:{zlib.crc32(tensors.astype('<f4', copy=False)):08x}"
+
+
 def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row per patch: ``key``, patch, start_s, end_s, active (share of frames in segments), log_mel.
 
-    ``log_mel`` holds PATCH x MELS floats in row order; ``tensor_column`` makes the Arrow tensor
-    column of it. Null media give no rows; repeated rows each give theirs; an empty table none.
+    ``log_mel`` holds PATCH x MELS floats in row order, as Spark has no tensors; ``tensor_column``
+    makes the Arrow tensor column of it. Null media give no rows; repeated rows each give theirs;
+    an empty table none.
     """
     source = media.select(F.col(key).alias("key"), F.col(column).alias("media")).where("media is not null")
     kind = source.schema["key"].dataType.simpleString()
@@ -182,14 +202,10 @@ def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, stored in zip(batch.column("key"), batch.column("media").to_pylist()):
-                _, found = features_of(stored)
-                on = np.zeros(len(found.mel), bool)
-                for a, b in found.spans:
-                    on[a:b] = True
-                rows = [(i, s, e, float(on[i * PATCH : (i + 1) * PATCH].mean()), t.ravel()) for i, (s, e, t) in enumerate(found.patches())]
-                n, start, end, active, tensors = zip(*rows)
-                flat = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (PATCH * MELS), pa.array(np.concatenate(tensors)))
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), k.type), pa.array(n, pa.int32()), pa.array(start), pa.array(end), pa.array(active), flat], ["key", "patch", "start_s", "end_s", "active", "log_mel"])
+                patches = patch_batch(features_of(stored)[1])
+                n = patches.num_rows
+                flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (PATCH * MELS), patches.column("log_mel").storage.flatten())
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, k.type), *patches.columns[:-1], flat], ["key", *patches.schema.names])
 
     out = map_arrow(source, run, f"key {kind}, patch int, start_s double, end_s double, active double, log_mel array<float>")
     return out.withColumnRenamed("key", key)
@@ -207,22 +223,23 @@ OP10_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 str
 def op10_media_audio(docs: DataFrame) -> DataFrame:
     """Stores each text as WAV, reads it back and describes what was read; one row per row of ``docs``.
 
-    Null texts count as empty and store 64 silent samples. Equal texts give equal values whatever
-    the batch; a very long text is transformed block by block.
+    The media are those of ``encode_media``; each document's patches are made as tensors with time
+    spans, as ``audio_features`` returns them, and ``feature`` covers both. Null texts count as
+    empty and store 64 silent samples. Equal texts give equal values whatever the batch; a very
+    long text is transformed block by block.
     """
+    raw = F.coalesce(F.col("text"), F.lit("")).alias("_raw")
+    stored = encode_media(docs.select(F.col("doc_id").cast("long"), F.octet_length(raw).cast("long").alias("n_bytes"), raw), "_raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             rows = []
-            for text in utf8(batch.column("text")):
-                media = wav(pad(text))
+            for media in batch.column("media").to_pylist():
                 back, found = features_of(media)
-                rows.append((len(text), len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), found.digest()))
+                rows.append((len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), f"{found.digest()}:{patch_digest(patch_batch(found))}"))
             if rows:
                 columns = [pa.array(list(c)) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, OP10_SCHEMA)
-
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    return map_arrow(stored, run, OP10_SCHEMA)
