@@ -1,29 +1,34 @@
 """Quality by co-training: a text view and a page-metadata view teach each other.
 
 Both views are logistic regressions over dense features. They start from the same labelled rows;
-in each round either view labels the documents of an unlabelled pool that it is surest of, in the
-labels' own proportion, and these become training rows of the other view. At the end each view's
-log odds are calibrated on labelled rows, a regression combines them, and all documents are scored
-in one pass without a shuffle.
+in each round either view labels every unlabelled document that it is sure of, and these become
+training rows of the other view. The unlabelled documents' features are stored once; rounds are
+passes over them that return sums (gradients and curvatures), never rows, so the pseudo-labels grow
+with the input. At the end each view's log odds are calibrated on labelled rows, a regression
+combines them, and all documents are scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LETTER, LOWER, Words, chunks, map_arrow, mix, utf8
+from ._common import LETTER, LOWER, Words, chunks, map_arrow, mix, stored, utf8
 from .toxicity import logistic
 
-#: Labelled rows of each label and unlabelled rows that are read to fit.
-TRAIN_ROWS, POOL_ROWS = 3_000, 6_000
-ROUNDS, PER_ROUND = 5, 200
+#: Labelled rows of each label that are read to fit.
+TRAIN_ROWS = 3_000
+#: Exchanges of labels, and Newton steps of each.
+ROUNDS, STEPS = 5, 2
+#: Calibrated log odds from which a view is sure of an unlabelled document.
+SURE = 2.0
+RIDGE = 3.0
 #: One-hot buckets for each of language and source.
 BUCKETS = 24
 TEXT_FEATURES, META_FEATURES = 12, 2 * BUCKETS + 4
@@ -96,9 +101,22 @@ class View:
         return np.concatenate([np.ones((len(z), 1)), z, z**2], axis=1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> View:
-        mean, deviation = x.mean(0), x.std(0) + 1e-3
-        return cls(mean, deviation, logistic(cls.design(x, mean, deviation), y, 3.0))
+    def fit(cls, x: np.ndarray, y: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> View:
+        return cls(mean, deviation, logistic(cls.design(x, mean, deviation), y, RIDGE))
+
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient and curvature of the log likelihood, laid end to end; sums over rows."""
+        z = self.design(x, self.mean, self.deviation)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return np.concatenate([z.T @ (y - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+    def moved(self, slopes: np.ndarray) -> View:
+        """The view after a Newton step; the first weight isn't penalised, as in ``logistic``."""
+        n = len(self.weights)
+        penalty = np.full(n, RIDGE)
+        penalty[0] = 1e-6
+        move = np.linalg.solve(slopes[n:].reshape(n, n) + np.diag(penalty), slopes[:n] - penalty * self.weights)
+        return View(self.mean, self.deviation, self.weights + np.clip(move, -2, 2))
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.design(x, self.mean, self.deviation) @ self.weights, -15, 15)
@@ -118,37 +136,99 @@ class CoTrained:
         return chance(both), chance(own[0]), chance(own[1])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | None:
-    """Every fifth labelled row is kept for calibration; None if a label is missing."""
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
+def summed(pool: DataFrame, each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``each(text view, metadata view)`` over all rows of ``pool``: a vector from each task; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = each(matrix(batch.column("text"), TEXT_FEATURES), matrix(batch.column("meta"), META_FEATURES))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([lists(total[None])], ["part"])
+
+    parts = [np.array(r[0]) for r in map_arrow(pool, run, "part array<double>").collect()]
+    return np.sum(parts, axis=0) if parts else None
+
+
+def moments(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(text)], text.sum(0), meta.sum(0), (text**2).sum(0), (meta**2).sum(0)])
+
+
+def calibrated(views: list[View], xs: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(intercept, slope) of each view's log odds."""
+    return tuple(logistic(np.stack([np.ones(len(y)), v.odds(x)], axis=1), y) for v, x in zip(views, xs))
+
+
+def exchange(teachers: list[View], scales: tuple[np.ndarray, ...], shift: float, learners: list[View]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For ``summed``: how many rows each view teaches, and each learner's slopes on what the other view is sure of."""
+
+    def each(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        counts, out = [], []
+        xs = (text, meta)
+        for k in (0, 1):
+            odds = teachers[1 - k].odds(xs[1 - k]) * scales[1 - k][1] + scales[1 - k][0] + shift
+            sure = np.abs(odds) > SURE
+            counts.append(sure.sum())
+            out.append(learners[k].slopes(xs[k][sure], (odds[sure] > 0).astype(float)))
+        return np.concatenate([np.array(counts[::-1], float), *out])
+
+    return each
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[], DataFrame] | None = None, shift: float = 0.0, rounds: int = ROUNDS, steps: int = STEPS) -> CoTrained | None:
+    """Every fifth labelled row is kept for calibration; None if a label is missing.
+
+    ``pool`` gives the unlabelled documents as ``pool_views`` does; ``shift`` is what their log odds
+    have beyond those of the labelled rows.
+    """
     fold = np.arange(len(y)) % 5 == 0
     if len(y) < 10 or y[~fold].min() == y[~fold].max() or y[fold].min() == y[fold].max():
         return None
-    own, pool = (text, meta), (pool_text, pool_meta)
-    taught: list[dict[int, float]] = [{}, {}]
-    share = y[~fold].mean()
+    own, held = (text[~fold], meta[~fold]), (text[fold], meta[fold])
+    unlabelled = pool() if pool else None
+    rest = summed(unlabelled, moments) if pool else None
+    total = moments(*own) + (0 if rest is None else rest)
+    n, wide = total[0], TEXT_FEATURES + META_FEATURES
+    mean = total[1 : 1 + wide] / n
+    deviation = np.sqrt(np.maximum(total[1 + wide :] / n - mean**2, 0)) + 1e-3
+    cuts = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, wide))
+    models = [View.fit(x, y[~fold], mean[c], deviation[c]) for x, c in zip(own, cuts)]
+    for _ in range(rounds if rest is not None else 0):
+        teachers, scales = models, calibrated(models, held, y[fold])
+        for _ in range(steps):
+            found = summed(unlabelled, exchange(teachers, scales, shift, models))[2:]
+            size = len(models[0].weights) * (len(models[0].weights) + 1)
+            models = [v.moved(part + v.slopes(x, y[~fold])) for v, part, x in zip(models, (found[:size], found[size:]), own)]
+    scales = calibrated(models, held, y[fold])
+    scaled = [m.odds(x) * c[1] + c[0] for m, x, c in zip(models, held, scales)]
+    return CoTrained((models[0], models[1]), scales, logistic(np.stack([np.ones(int(fold.sum())), *scaled], axis=1), y[fold]))
+
+
+def not_held_out() -> Column:
+    return F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+def pool_views(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, meta``: both views of every document that has no label and isn't held out, stored; no text is shuffled."""
+    own = docs.where(not_held_out()).select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars")
 
-    def fitted(k: int) -> View:
-        ids = list(taught[k])
-        x = np.concatenate([own[k][~fold], pool[k][ids]]) if ids else own[k][~fold]
-        return View.fit(x, np.concatenate([y[~fold], [taught[k][i] for i in ids]]) if ids else y[~fold])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text, meta in views(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists(text), lists(meta)], ["doc_id", "text", "meta"])
 
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool_text) else 0):
-        for k in (0, 1):
-            odds = models[k].odds(pool[k])
-            order = np.argsort(odds, kind="stable")
-            low, high = round(per_round * (1 - share)), round(per_round * share)
-            for i in order[:low]:
-                if odds[i] < -2:
-                    taught[1 - k].setdefault(int(i), 0.0)
-            for i in order[len(order) - high :]:
-                if odds[i] > 2:
-                    taught[1 - k].setdefault(int(i), 1.0)
-        models = [fitted(0), fitted(1)]
-    one = np.ones(int(fold.sum()))
-    scales = tuple(logistic(np.stack([one, m.odds(x[fold])], axis=1), y[fold]) for m, x in zip(models, own))
-    scaled = [m.odds(x[fold]) * c[1] + c[0] for m, x, c in zip(models, own, scales)]
-    return CoTrained((models[0], models[1]), scales, logistic(np.stack([one, *scaled], axis=1), y[fold]))
+    found = map_arrow(own, run, "doc_id long, text array<double>, meta array<double>")
+    return stored(found.join(labels.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_anti"), "quality-views")
 
 
 def sample_views(docs: DataFrame, ids: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,24 +250,22 @@ def sample_views(docs: DataFrame, ids: list[tuple[int, int]]) -> tuple[np.ndarra
     return shaped(2, TEXT_FEATURES), shaped(3, META_FEATURES), np.array([r[1] for r in rows], float)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool: int = POOL_ROWS) -> CoTrained | None:
-    """Fits on at most ``rows`` rows of each label and ``pool`` others, those with the lowest hash of doc_id.
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> CoTrained | None:
+    """Fits on at most ``rows`` rows of each label, those with the lowest hash of doc_id, and on all unlabelled documents.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out of both.
     """
-    free = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    free = not_held_out()
     taught = labels.where(free & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = [(r[0], y) for y in (0, 1) for r in taught.where(F.col("_y") == y).orderBy(*order).limit(rows).select("doc_id").collect()]
-    others = docs.select(F.col("doc_id").cast("long")).where(free).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    extra = [(r[0], -1) for r in others.distinct().orderBy(*order).limit(pool).collect()]
-    text, meta, y = sample_views(docs, ids + extra)
-    known = y >= 0
+    text, meta, y = sample_views(docs, ids)
     share = labels.where(free).agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    model = co_train(text[known], meta[known], y[known], text[~known], meta[~known])
-    if model and share and 0 < share < 1:
-        p = y[known].mean()
-        shift = np.log(share / (1 - share)) - np.log(p / (1 - p))
+    shift = 0.0
+    if len(y) and 0 < y.mean() < 1 and share and 0 < share < 1:
+        shift = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    model = co_train(text, meta, y, lambda: pool_views(docs, labels), shift)
+    if model:
         model.combine = model.combine + np.array([shift, 0, 0])
     return model
 
