@@ -1,12 +1,15 @@
 """Helpers that the operators share: row ids, shared folders, batches of texts and word hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` everywhere. Hashes are computed over whole Arrow batches with
-numpy: a prefix polynomial modulo 2**64 over randomised byte values gives every word its hash,
-a second one over the mixed word hashes gives every run of words its hash.
+numpy. A word goes through a bijection of 64 bits, eight bytes at a time, so that words of equal
+length up to eight bytes never clash, and long words are digested by BLAKE2b; a run of words is
+joined half by half through the same bijection. No step is linear, so that no structure of words
+(alternating letters, exchanged halves) makes hashes meet. Two lanes start from different seeds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +24,12 @@ CHUNK_BYTES = 1_000_000
 #: Bytes of an Arrow batch that goes to a Python worker, but for one longer row.
 BATCH_BYTES = 8 << 20
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Words of more bytes than this are hashed by BLAKE2b.
+LONG_WORD = 256
 #: Where ``spark.checkpoint.dir`` is unset: this process's own folder.
 _own_dir: dict[str, str] = {}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,19 +39,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is empty (tests on one machine) a temporary folder takes its place.
+    Where that setting is empty a temporary folder takes its place if Spark runs in this process
+    alone (``local[*]``); on a cluster, where others wouldn't see it, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.setdefault("path", "")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own_dir["path"] = "file://" + tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder deleted when the driver's JVM ends; results may need it until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def stored(df: DataFrame, what: str, small: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there.
+
+    ``small``: rows of a few numbers. They are written by fewer tasks, of the size that Spark is told
+    to aim at, as for small files the making of a file takes longer than its rows.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    path, was = shared_dir(spark, what), spark.conf.get(name, None)
+    if small:
+        spark.conf.set(name, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        if small:
+            spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+    gone_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
@@ -61,7 +88,8 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
 def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_BYTES``, which bounds what a worker holds.
 
-    The limit is a setting of the session; it stays lowered, as plans are made later.
+    The limit is a setting of the session; it stays lowered, as Spark reads it when a plan runs,
+    which is after the operator has returned. The README says so too.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
@@ -100,38 +128,77 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's first ``n`` powers and those of its inverse modulo 2**64."""
-    have = _powers.get(lane)
+    have = _powers[-1] if _powers else None
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        base = _MULTIPLIERS[lane]
         both = []
-        for value in (base, pow(base, -1, 1 << 64)):
+        for value in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
             run = np.full(size, value, np.uint64)
             run[0] = 1
             both.append(np.multiply.accumulate(run))
         have = (both[0], both[1])
         if size <= 1 << 21:
-            _powers[lane] = have
+            _powers[:] = [have]
     return have[0][:n], have[1][:n]
 
 
 class Prefix:
-    """Prefix polynomial of values (uint64), for hashes of any of their runs."""
+    """Prefix polynomial of bytes, for cheap hashes of any pieces of words; only for features, where a clash does no harm."""
 
-    def __init__(self, values: np.ndarray, lane: int = 0):
-        up, self.down = powers(len(values) + 1, lane)
-        self.total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[:-1], out=self.total[1:])
+    def __init__(self, raw: np.ndarray):
+        up, self.down = powers(len(raw) + 1)
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * up[:-1], out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.total[ends] - self.total[starts]) * self.down[starts]
 
 
-def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hash of each ``values[start:end]`` (uint64), from one prefix polynomial."""
-    return Prefix(values, lane).of(starts, ends)
+_SEEDS = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each ``raw[start:end]`` (uint64)."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_MULTIPLIER) ^ _SEEDS[lane])
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two in this order; for either one fixed, a bijection of the other."""
+    return mix(a ^ (b * np.uint64(_MULTIPLIER) + _SEEDS[3]))
+
+
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``hashes[i : i + size]`` for each i that has so many: by runs of 1, 2, 4, ..."""
+    if len(hashes) < size:
+        return np.zeros(0, np.uint64)
+    power, width, parts = hashes, 1, []
+    while width <= size:
+        if size & width:
+            parts.append((width, power))
+        if 2 * width <= size:
+            power = joined(power[:-width], power[width:])
+        width *= 2
+    many = len(hashes) - size + 1
+    out, at = None, 0
+    for width, power in reversed(parts):
+        piece = power[at : at + many]
+        out, at = (piece if out is None else joined(out, piece)), at + width
+    return out if size > 1 else mix(out)
 
 
 _all = np.arange(256, dtype=np.uint8)
@@ -160,11 +227,11 @@ class Words:
         self.offset = np.searchsorted(self.start, self.text_start)
         self.count = np.diff(self.offset)
 
-    def hashes(self) -> np.ndarray:
-        return mix(runs(_BYTES[self.raw], self.start, self.end))
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return word_hashes(self.raw, self.start, self.end, lane)
 
-    def bare(self) -> tuple[np.ndarray, np.ndarray, Prefix]:
-        """Starts and ends of the words without the marks at their edges, and A-Z in lower case; of a word of marks alone the middle one is left."""
+    def bare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words without the marks at their edges, and all bytes with A-Z in lower case; of a word of marks alone the middle one is left."""
         lower = LOWER[self.raw]
         letter = LETTER[lower]
         at = np.arange(len(lower))
@@ -173,7 +240,7 @@ class Words:
         middle = self.start + (self.end - self.start) // 2
         marks = following >= self.end
         start, end = np.where(marks, middle, following), np.where(marks, middle, previous) + 1
-        return start, end, Prefix(_BYTES[lower])
+        return start, end, lower
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

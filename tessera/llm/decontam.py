@@ -5,13 +5,17 @@ entry's score for itself, so scores run from 0 to 1. Passages are windows of two
 so that each entry lies in one of them whole. Search is block-max WAND over batches of passages: a
 passage is skipped if its terms' largest weights can't reach the threshold, a block of entries if
 the terms' largest weights in that block can't, and only what is left is scored. Every entry at or
-above the threshold is retrieved; then the item's question and answer must both be found in the
-text, by their word trigrams.
+above the threshold is retrieved; then the item's question and answer must both be found where the
+passage is, with as many words around it as the item has, by their word trigrams.
+
+Words and trigrams are compared by 64-bit hashes; a clash would add a term or a trigram that isn't
+there, which moves a score or share by one word's part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, map_arrow, mix, runs, utf8
+from ._common import Words, chunks, grams, map_arrow, stored, utf8, with_row_id, word_hashes
 
 ENTRY, STRIDE, BLOCK = 32, 32, 16
 K1, B = 1.2, 0.75
 #: Least BM25 score as a share of the entry's own, and least shares of trigrams.
 SCORE, QUESTION, ANSWER = 0.5, 0.6, 0.5
-#: Words of the items that one index holds; more items are searched in several passes.
-SHARD_WORDS = 60_000
+#: Words of the items that one index holds (about 15 MB), and indexes that one pass over the documents
+#: holds; beyond that there are more passes.
+SHARD_WORDS, PASS_INDEXES = 60_000, 8
 #: Cells of bounds that are held at once.
 CELLS = 2_000_000
 
@@ -38,7 +43,9 @@ class Item:
     item_id: int
     question: np.ndarray
     answer: np.ndarray
+    #: words of a gram, and of the item
     size: int
+    words: int
 
 
 @dataclass
@@ -53,14 +60,9 @@ class Index:
     items: list[Item]
 
 
-def trigrams(hashes: np.ndarray, size: int) -> np.ndarray:
-    at = np.arange(max(len(hashes) - size + 1, 0))
-    return mix(runs(hashes, at, at + size))
-
-
 def bare_hashes(words: Words) -> np.ndarray:
-    start, end, prefix = words.bare()
-    return mix(prefix.of(start, end))
+    start, end, lower = words.bare()
+    return word_hashes(lower, start, end)
 
 
 def answer_start(words: list[bytes]) -> int:
@@ -120,8 +122,8 @@ def build(rows: list[tuple[int, str | None]], of_all: Statistics | None = None)
         if not len(h):
             continue
         size = min(3, len(h))
-        grams, middle = trigrams(h, size), max(answer_start(raw.split()) - size + 1, 0)
-        items.append(Item(item_id, np.unique(grams[:middle]), np.unique(grams[middle:]), size))
+        parts, middle = grams(h, size), max(answer_start(raw.split()) - size + 1, 0)
+        items.append(Item(item_id, np.unique(parts[:middle]), np.unique(parts[middle:]), size, len(h)))
         for part in cut(h):
             entries.append(part)
             item_of.append(len(items) - 1)
@@ -146,8 +148,11 @@ def build(rows: list[tuple[int, str | None]], of_all: Statistics | None = None)
     return Index(terms, rows_at, table, bounds, np.array(item_of, np.int64), items)
 
 
-def search(index: Index, words: Words, h: np.ndarray, least: float = SCORE) -> list[tuple[int, int, float]]:
-    """(text, item, largest score) of each text and item with a passage and entry at ``least`` or above."""
+def search(index: Index, words: Words, h: np.ndarray, least: float = SCORE) -> list[tuple[int, int, float, list[int]]]:
+    """(text, item, largest score, passages) of each text and item with a passage and entry at ``least`` or above.
+
+    Passage p of a text is its words from ``(p - 1) * STRIDE`` to ``(p + 1) * STRIDE``.
+    """
     if not len(index.terms) or not len(h):
         return []
     spot = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
@@ -164,7 +169,7 @@ def search(index: Index, words: Words, h: np.ndarray, least: float = SCORE) -> l
     most = np.bincount(passage, index.bounds.max(1)[term], int(first[-1]))
     keep = most[passage] >= least - 1e-4
     passage, term = passage[keep], term[keep]
-    best: dict[tuple[int, int], float] = {}
+    best: dict[tuple[int, int], tuple[float, set[int]]] = {}
     blocks = index.bounds.shape[1]
     starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(passage))
@@ -183,84 +188,122 @@ def search(index: Index, words: Words, h: np.ndarray, least: float = SCORE) -> l
         exact = np.add.reduceat(index.weights[rows], begin, axis=0)
         q, slot = np.nonzero(exact >= least)
         entry = block[q] * BLOCK + slot
-        doc = np.searchsorted(first, passage[starts[a : a + step][p[q]]], side="right") - 1
-        for d, i, s in zip(doc.tolist(), index.item_of[entry].tolist(), exact[q, slot].tolist()):
-            best[d, i] = max(s, best.get((d, i), 0.0))
-    return [(d, i, s) for (d, i), s in sorted(best.items())]
+        own = passage[starts[a : a + step][p[q]]]
+        doc = np.searchsorted(first, own, side="right") - 1
+        for d, i, x, at in zip(doc.tolist(), index.item_of[entry].tolist(), exact[q, slot].tolist(), (own - first[doc]).tolist()):
+            most_so_far, where = best.setdefault((d, i), (0.0, set()))
+            where.add(at)
+            best[d, i] = max(x, most_so_far), where
+    return [(d, i, x, sorted(where)) for (d, i), (x, where) in sorted(best.items())]
 
 
-def verify(index: Index, h: np.ndarray, item: int, cache: dict) -> tuple[float, float]:
-    """Shares of the question's and of the answer's trigrams that a text's words ``h`` hold."""
-    own = index.items[item]
-    if own.size not in cache:
-        cache[own.size] = np.unique(trigrams(h, own.size))
-    have = cache[own.size]
+def verify(item: Item, h: np.ndarray, passages: list[int], least: tuple[float, float], cache: dict) -> tuple[float, float]:
+    """Shares of the question's and of the answer's trigrams around the passage of a text (words ``h``) that suits best."""
+    if item.size not in cache:
+        cache[item.size] = grams(h, item.size)
+    own = cache[item.size]
 
-    def share(grams: np.ndarray) -> float:
-        if not len(grams) or not len(have):
-            return 1.0 if not len(grams) else 0.0
-        spot = np.minimum(np.searchsorted(have, grams), len(have) - 1)
-        return float((have[spot] == grams).mean())
+    def share(parts: np.ndarray, have: np.ndarray) -> float:
+        return float(np.isin(parts, have).mean()) if len(parts) else 1.0
 
-    return share(own.question), share(own.answer)
+    found = []
+    for p in passages:
+        have = own[max((p - 1) * STRIDE - item.words, 0) : max((p + 1) * STRIDE + item.words - item.size + 1, 0)]
+        found.append((share(item.question, have), share(item.answer, have)))
+    return max(found, key=lambda x: (x[0] >= least[0] and x[1] >= least[1], x[0] + x[1], x))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """``docs`` with ``hits``: the benchmark items that each text holds, with scores; no shuffle.
-
-    ``benchmark`` has item_id and text. Its items go to the executors, ``SHARD_WORDS`` words at a
-    time: each pass over ``docs`` has one index of bounded size, with weights from all items. Null and empty texts and items
-    match nothing; items of one or two words are compared whole; repeated rows and items each have
-    their own hits; null item ids stay null. A ``hits`` column of ``docs`` is replaced; an empty
-    table on either side gives no hits.
-    """
-    own = [c for c in docs.columns if c.lower() != "hits"]
-    out = docs.select(*own)
-    spark = docs.sparkSession
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes of ``SHARD_WORDS`` words, one after another; weights are those of all items."""
+    of_all = statistics(row[1] for row in items.toLocalIterator())
     batch: list[tuple[int, str]] = []
     size = 0
-    passes = []
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    of_all = statistics(row[1] for row in items.toLocalIterator())
     for row in items.toLocalIterator():
         batch.append((row[0], row[1]))
         size += row[1].count(" ") + 1
         if size >= SHARD_WORDS:
-            passes.append(spark.sparkContext.broadcast(build(batch, of_all)))
+            yield build(batch, of_all)
             batch, size = [], 0
     if batch:
-        passes.append(spark.sparkContext.broadcast(build(batch, of_all)))
-    out = out.withColumn("hits", F.array().cast(HITS))
+        yield build(batch, of_all)
+
+
+def searched(docs: DataFrame, some: list[Index], score: float, question: float, answer: float) -> tuple[DataFrame, object]:
+    """``docs`` with ``hits`` in ``some`` indexes, from one pass without a shuffle; and the broadcast that it needs."""
+    own = docs.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
-    schema = out.schema
-    for shared in passes:
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for part in batches:
-                texts = utf8(part.column("text"))
-                hits = part.column("hits").to_pylist()
-                for a, b in chunks(texts):
-                    words = Words(texts[a:b])
-                    h = bare_hashes(words)
-                    caches: dict[int, dict] = {}
-                    for d, i, s in search(index, words, h, score):
-                        q, r = verify(index, h[words.offset[d] : words.offset[d + 1]], i, caches.setdefault(d, {}))
+    shared = docs.sparkSession.sparkContext.broadcast(some)  # at most PASS_INDEXES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for part in batches:
+            texts = utf8(part.column("text"))
+            hits: list[list] = [[] for _ in texts]
+            for a, b in chunks(texts):
+                words = Words(texts[a:b])
+                h = bare_hashes(words)
+                caches: dict[int, dict] = {}
+                for index in held:
+                    for d, i, x, passages in search(index, words, h, score):
+                        item = index.items[i]
+                        q, r = verify(item, h[words.offset[d] : words.offset[d + 1]], passages, (question, answer), caches.setdefault(d, {}))
                         if q >= question and r >= answer:
-                            hits[a + d].append({"item_id": index.items[i].item_id, "score": s, "question": q, "answer": r})
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(hits, kind)], [*own, "hits"])
+                            hits[a + d].append({"item_id": item.item_id, "score": x, "question": q, "answer": r})
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(hits, kind)], [*own, "hits"])
+
+    return map_arrow(docs, run, docs.withColumn("hits", F.array().cast(HITS)).schema), shared
 
-        out = map_arrow(out, run, schema)
-    return out
+
+def mark(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+    """``docs`` with ``hits``: the benchmark items that each text holds, with scores.
+
+    ``benchmark`` has item_id and text. Its indexes go to the executors, ``PASS_INDEXES`` at a time:
+    nearly every benchmark takes one pass over ``docs`` without a shuffle; of more passes only the
+    rows with hits are stored, and joined at the end (``docs`` must then be readable again in the
+    same order, see ``with_row_id``). The driver holds the distinct terms' counts and one pass's
+    indexes. Null and empty texts and items match nothing; items of one or two words are compared
+    whole; repeated rows and items each have their own hits; null item ids stay null; very long
+    texts are searched whole, passage by passage. A ``hits`` column of ``docs`` is replaced; an
+    empty table on either side gives no hits.
+    """
+    plain = [c for c in docs.columns if c.lower() != "hits"]
+    # plain names inside, so that no column of docs can clash
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(plain)]
+    base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(plain, inner)])
+    empty = F.array().cast(HITS)
+    made = indexes(benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null"))
+    some, more = list(islice(made, PASS_INDEXES)), next(made, None)
+    if not some:
+        return base.toDF(*plain).withColumn("hits", empty)
+    if more is None:
+        return searched(base, some, score, question, answer)[0].toDF(*plain, "hits")
+    numbered, found = with_row_id(base), None
+    while some:
+        part, shared = searched(numbered.select("_rid", "text"), some, score, question, answer)
+        part = stored(part.where(F.size("hits") > 0).select("_rid", "hits"), "hits")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+        some = [*([] if more is None else [more]), *islice(made, PASS_INDEXES - 1)]
+        more = None if not some else next(made, None)
+    merged = found.groupBy("_rid").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return numbered.join(merged, "_rid", "left").select(*inner, F.coalesce("hits", empty).alias("hits")).toDF(*plain, "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
+    """``docs`` without the rows that hold a benchmark item.
+
+    Null and empty texts stay, repeated rows stay or go together, columns of any name (``hits`` too)
+    come back as they are, and an empty table on either side leaves ``docs`` whole.
+    """
     inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     return mark(docs.toDF(*inner), benchmark).where(F.size("hits") == 0).select(*inner).toDF(*docs.columns)
 
 
 def op4_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and benchmark item that it holds."""
+    """A row for each row of ``docs`` and benchmark item that it holds, with the rounded score and overlaps.
+
+    Nulls, empty and very long texts, repeated rows and empty tables as in ``mark``; a null doc_id
+    stays null; of equal scores each has its row.
+    """
     hits = mark(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("hits").alias("hit"))
     return hits.select("doc_id", "hit.item_id", F.round("hit.score", 4).alias("score"), F.round("hit.question", 4).alias("question_overlap"), F.round("hit.answer", 4).alias("answer_overlap"))

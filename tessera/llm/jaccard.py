@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, map_arrow, mix, runs, sorted_groups, stored, utf8, with_row_id
+from ._common import Words, chunks, grams, map_arrow, mix, sorted_groups, stored, utf8, with_row_id
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Coordinates of the vector of minimum hashes.
@@ -34,6 +34,10 @@ _A = mix(np.arange(1, VECTOR + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642
 _B = mix(np.arange(1, VECTOR + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
 
 
+#: Tells shingles of fewer words from others of an equal hash.
+_SHORT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
+
+
 def runs_needed(similarity: float, recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair of this similarity has met in a leaf of the deepest level."""
     level = 0.75 * similarity + 0.25 * (1 - (1 - similarity) ** 2)
@@ -43,10 +47,13 @@ def runs_needed(similarity: float, recall: float, levels: int = LEVELS) -> int:
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct shingles of each text in turn, offsets). Shorter texts are one shingle."""
     h, first = words.hashes(), words.windows(size)
-    short = np.flatnonzero((words.count > 0) & (words.count < size))
-    begin = np.concatenate([first, words.offset[:-1][short]])
-    end = np.concatenate([first + size, words.offset[1:][short]])
-    s = mix(runs(h, begin, end))
+    starts, found = [first], [grams(h, size)[first]]
+    for n in range(1, size):
+        own = words.offset[:-1][words.count == n]
+        if len(own):
+            starts.append(own)
+            found.append(grams(h, n)[own] ^ _SHORT[n % len(_SHORT)])
+    begin, s = np.concatenate(starts), np.concatenate(found)
     text = words.text_of()[begin] if len(begin) else np.zeros(0, np.int64)
     order = np.lexsort((s, text))
     s, text = s[order], text[order]

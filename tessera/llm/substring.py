@@ -3,8 +3,9 @@
 Seeds: of the ``GRAM``-word hashes inside each window the smallest is its anchor, so equal windows
 have equal anchors and about every tenth position is one. Anchors that occur once in the corpus
 can't belong to a repeat. Extension: around every anchor that occurs again, all windows it leads
-(up to ``window - GRAM`` words either way) are compared by 96-bit hashes of their whole content;
-adjoining repeated windows make the maximal repeats. Occurrences are counted by partial
+(up to ``window - GRAM`` words either way) are compared by 96 bits of hash of their whole content,
+from two lanes of word hashes that have nothing in common but the words; adjoining repeated windows
+make the maximal repeats. Occurrences are counted by partial
 aggregation and met by semi joins, so no group is gathered and no pairs are made.
 """
 
@@ -19,22 +20,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ._common import Words, chunks, map_arrow, mix, runs, stored, utf8, with_row_id
+from ._common import Words, chunks, grams, map_arrow, stored, utf8, with_row_id
+
+
+def gram_size(window: int) -> int:
+    return (window + 1) // 2
 
 
 def leaders(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, index of each window's first word, its anchor: the smallest gram hash inside)."""
-    gram = (window + 1) // 2
+    """(gram hash at each word, index of each window's first word, its anchor: the smallest gram hash inside)."""
+    gram = gram_size(window)
     h, first = words.hashes(), words.windows(window)
-    at = words.windows(gram)
-    grams = np.zeros(len(h), np.uint64)
-    grams[at] = mix(runs(h, at, at + gram))
-    low, span, width = grams, 1, window - gram + 1
+    found = np.zeros(len(h), np.uint64)
+    found[: max(len(h) - gram + 1, 0)] = grams(h, gram)
+    low, span, width = found, 1, window - gram + 1
     while span * 2 <= width:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    return h, first, low[first]
+    return found, first, low[first]
 
 
 def anchor_positions(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,22 +46,22 @@ def anchor_positions(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]
 
     A text that has one anchor's content at two places gives two rows.
     """
-    gram = (window + 1) // 2
-    h, first, low = leaders(words, window)
+    gram = gram_size(window)
+    found, first, low = leaders(words, window)
     width = window - gram + 1
     at = words.windows(gram)
-    grams = mix(runs(h, at, at + gram))
+    own = found[at]
     # a position counts if one of the windows over it has its hash as the smallest: compare with the
     # largest of those minima, which is the loosest condition any window sets
-    slots = np.zeros(len(h) + 2 * width, np.uint64)
+    slots = np.zeros(len(found) + 2 * width, np.uint64)
     slots[first + width - 1] = low
     high, span = slots, 1
     while span * 2 <= width:
         high, span = np.maximum(high[:-span], high[span:]), span * 2
     if span < width:
         high = np.maximum(high[: len(high) - (width - span)], high[width - span :])
-    picked = grams <= high[at]
-    return words.text_of()[at[picked]], grams[picked]
+    picked = own <= high[at]
+    return words.text_of()[at[picked]], own[picked]
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -103,12 +107,12 @@ def extended(seeded: DataFrame, window: int, what: str) -> DataFrame:
             rid, texts, seeds = batch.column("_rid").to_numpy(), utf8(batch.column("text")), batch.column("seeds")
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
-                h, first, low = leaders(words, window)
+                _, first, low = leaders(words, window)
                 own = np.unique(seeds.slice(a, b - a).flatten().to_numpy().view(np.uint64))
                 spot = np.searchsorted(own, low)
                 first = first[own[np.minimum(spot, len(own) - 1)] == low] if len(own) else first[:0]
-                h1 = mix(runs(h, first, first + window)).view(np.int64)
-                h2 = (mix(runs(h, first, first + window, 1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h1 = grams(words.hashes(), window)[first].view(np.int64)
+                h2 = (grams(words.hashes(1), window)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 order = np.lexsort((h2, h1))
                 same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
                 new = np.flatnonzero(np.append(True, ~same)[: len(h1)])
@@ -190,7 +194,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
-    """The counts and digest of what stays of each document, made where its words are at hand."""
+    """The counts and digest of what stays of each document, made where its words are at hand.
+
+    One row for each row of ``docs``; nulls, empty and very long texts, ties, repeated rows and
+    empty tables as in ``remove_repeats``; a null doc_id stays null.
+    """
     out = remove_repeats(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from ._common import Words, chunks, map_arrow, mix, utf8
+from ._common import Prefix, Words, chunks, map_arrow, mix, utf8
 
 #: Labelled rows that are read to fit, of each label; their texts are whole, whatever their length.
 TRAIN_ROWS = 3_000
@@ -39,7 +39,8 @@ PASSES, RATE, DECAY = 14, 0.35, 2e-4
 def features(words: Words) -> np.ndarray:
     """(words, features) indexes into the weights, of the bare words (see ``Words.bare``)."""
     mask = np.uint64((1 << TABLE_BITS) - 1)
-    start, end, prefix = words.bare()
+    start, end, lower = words.bare()
+    prefix = Prefix(lower)
     columns = [prefix.of(start, end)]
     for i, (kind, n) in enumerate(AFFIXES):
         a, b = (start, np.minimum(start + n, end)) if kind == "prefix" else (np.maximum(end - n, start), end)
@@ -255,7 +256,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     if not ids:
         return [], np.zeros(0, int)
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _y int"))  # 2 x rows at most
-    own = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id")
+    # a doc_id that many rows share teaches by one of its texts, so that what is collected stays bounded
+    own = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
     found = sorted((r["doc_id"], r["text"], r["_y"]) for r in own.collect())
     return [t.encode() for _, t, _ in found], np.array([y for _, _, y in found], int)
 
@@ -267,7 +269,7 @@ def class_shares(labels: DataFrame, label: str) -> float:
 
 
 def score(docs: DataFrame, model: Field, text: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``spans`` (start, end in bytes of UTF-8, chance), where a word's marginal is 0.5 or more.
+    """``docs`` with ``score`` (0 to 1) and ``spans`` (start, end in code points, chance), where a word's marginal is 0.5 or more.
 
     Whole texts are tagged. Null and empty texts get the score of no evidence and no spans;
     repeated rows get equal scores; columns of ``docs`` named like those added are replaced; an
@@ -291,10 +293,14 @@ def score(docs: DataFrame, model: Field, text: str = "text", spans: bool = True)
                 columns = [pa.array(chance)]
                 if spans:
                     lists: list[list] = [[] for _ in range(b - a)]
-                    text_of = words.text_of()
-                    for w in np.flatnonzero(marginal >= 0.5).tolist():
-                        d = int(text_of[w])
-                        lists[d].append({"start": int(words.start[w] - words.text_start[d]), "end": int(words.end[w] - words.text_start[d]), "chance": float(marginal[w])})
+                    toxic = np.flatnonzero(marginal >= 0.5)
+                    if len(toxic):
+                        # code points before each byte: those that don't continue a character
+                        point = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+                        of = words.text_of()[toxic]
+                        first, last = (point[x[toxic]] - point[words.text_start[of]] for x in (words.start, words.end))
+                        for d, i, j, m in zip(of.tolist(), first.tolist(), last.tolist(), marginal[toxic].tolist()):
+                            lists[d].append({"start": i, "end": j, "chance": m})
                     columns.append(pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float32())]))))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *columns], [*own, "score", *["spans"] * spans])
@@ -303,7 +309,11 @@ def score(docs: DataFrame, model: Field, text: str = "text", spans: bool = True)
 
 
 def without_toxic(docs: DataFrame, model: Field, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is under ``most``, with just their own columns."""
+    """The rows of ``docs`` whose score is under ``most``, with just their own columns.
+
+    Null and empty texts have no evidence and stay unless nearly all labels are toxic; repeated
+    rows go or stay together; columns of any name come back as they are; an empty table stays empty.
+    """
     inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     return score(docs.toDF(*inner), model, spans=False).where(F.col("score") < most).select(*inner).toDF(*docs.columns)
 
@@ -319,14 +329,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Field:
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: score, prediction and ``spans``, the offending words as ``start:end`` in code points.
+
+    Null and empty texts have the score of no evidence and no spans; a very long text is tagged
+    whole; repeated rows and equal texts get equal values; a null doc_id is not held out. Without
+    labels of both kinds all scores say the one that is known, clean if none is. An empty table
+    stays empty; further columns of ``docs`` are ignored.
+    """
     model = fit_on(docs, labels)
     out = score(docs.select("doc_id", "text"), model)
     return out.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("spans").alias("n_spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
     )
 
 

@@ -3,7 +3,7 @@ import numpy as np
 from tessera.llm import decontam
 
 
-def test_shards_and_order_leave_scores_alone(spark, sf01, monkeypatch):
+def test_shards_and_order_leave_scores_alone(spark, sf01, monkeypatch, tmp_path):
     items = spark.read.parquet(f"{sf01}/benchmark.parquet").limit(12).collect()
     docs = spark.createDataFrame([(i, " ".join(r.text.split()[: max(6, len(r.text.split()) * 3 // 4)])) for i, r in enumerate(items)], "doc_id long, text string")
 
@@ -18,6 +18,21 @@ def test_shards_and_order_leave_scores_alone(spark, sf01, monkeypatch):
         got = hits(order)
         assert got.keys() == whole.keys() and whole
         assert np.allclose([got[k] for k in whole], list(whole.values()), atol=1e-6)
+    # several passes
+    monkeypatch.setattr(decontam, "PASS_INDEXES", 2)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = hits(rows)
+    assert got.keys() == whole.keys() and np.allclose([got[k] for k in whole], list(whole.values()), atol=1e-6)
+
+
+def test_parts_far_apart_do_not_make_a_hit(spark):
+    """Question and answer must be where the passage is, not anywhere in the text."""
+    question, answer = "which of the seven rivers of the northern plain carries most water in spring?", "the broad grey river of the eastern gate"
+    filler = " ".join(f"filler{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{question} {answer}"), (2, f"{question} {filler} {answer}"), (3, f"{filler} {question} {answer} {filler}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"{question} {answer}")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.op4_decontamination(docs, items).collect()} == {1, 3}
 
 
 def test_statistics_are_those_of_all_entries(monkeypatch):
