@@ -23,12 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, chunks, map_arrow, shared_dir, utf8
+from ._common import CHUNK_BYTES, chunks, gone_at_exit, map_arrow, shared_dir, utf8
 
 #: Words that an encoder remembers before it starts anew.
 CACHED_WORDS = 400_000
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
+#: The session's setting that names the folder of the lasting cache.
+CACHE_SETTING = "spark.tessera.tokenCache"
 
 
 class WordEncoder:
@@ -198,12 +200,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     The normalised content is the text itself, null as empty (any further folding could change
     what a tokenizer sees). Contents whose (digest, tokenizer version) is in the cache, a Parquet
     folder, are looked up; of the others one text per digest is encoded and its count appended,
-    so that the next run finds it. ``cache`` None: a new folder in the shared directory.
+    so that the next run finds it. ``cache`` None: the folder that the session's setting
+    ``spark.tessera.tokenCache`` names, and where that is unset too a new one in the shared
+    directory, which begins empty and goes when the driver ends.
 
     Nulls and empty texts count 0 tokens and 0 bytes; repeated rows each come back; an empty table
     gives an empty result; columns of ``docs`` named like those added are replaced.
     """
     spark = docs.sparkSession
+    cache = cache or spark.conf.get(CACHE_SETTING, None)
+    own_cache = not cache
     cache = cache or shared_dir(spark, "token-cache")
     version = tokenizer_version(tokenizer)
     own = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "digest")]
@@ -223,6 +229,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
             word_encoder(tokenizer).forget()
 
     map_arrow(misses, run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    if own_cache:
+        gone_at_exit(spark, cache)
     return keyed.join(read_cache(docs, cache, version), "digest", "left")
 
 
@@ -240,6 +248,11 @@ def read_cache(docs: DataFrame, cache: str, version: str) -> DataFrame | None:
 
 
 def op8_token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: str | None = None) -> DataFrame:
+    """A row for each row of ``docs``: bytes, tokens and whether these are over the limit.
+
+    Nulls, empty and very long texts, repeated rows, ties and empty tables as in ``count_tokens``;
+    a null doc_id stays null; further columns of ``docs`` are ignored.
+    """
     out = count_tokens(docs.select("doc_id", "text"), tokenizer, cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -97,3 +97,25 @@ def test_buckets_are_folders(spark, tmp_path):
     packing.write_buckets(packing.decompose(docs, PATH), str(tmp_path / "b"))
     stored = spark.read.parquet(str(tmp_path / "b"))
     assert stored.select(F.sum("length")).first()[0] == len(plain("one two three four five")) + 1
+
+
+def test_lasting_cache_of_the_query(spark, sf, tmp_path, monkeypatch):
+    """The registered query looks up what an earlier run stored, and encodes what is new only."""
+    from tessera.llm import queries, tokens
+
+    folder = str(tmp_path / "cache")
+    spark.conf.set(tokens.CACHE_SETTING, folder)
+    try:
+        first = sorted(map(tuple, queries.queries()["op8_token_counts"](spark, sf).collect()))
+        stored = spark.read.parquet(folder)
+        texts = spark.read.parquet(f"{sf}/documents.parquet").select("text").distinct().count()
+        assert stored.count() == stored.select("digest").distinct().count() == texts
+        # marked counts show where the second run's come from
+        marked = str(tmp_path / "marked")
+        stored.withColumn("n_tokens", stored.n_tokens + 10**9).write.parquet(marked)
+        spark.conf.set(tokens.CACHE_SETTING, marked)
+        second = sorted(map(tuple, queries.queries()["op8_token_counts"](spark, sf).collect()))
+        assert [(a, b, n + 10**9) for a, b, n, _ in first] == [(a, b, n) for a, b, n, _ in second]
+        assert spark.read.parquet(marked).count() == texts
+    finally:
+        spark.conf.unset(tokens.CACHE_SETTING)
