@@ -2,7 +2,8 @@
 
 Features: polyphase resampling to the target rate, overlapped log-mel filterbanks, and segments of
 raised energy found with two thresholds (hysteresis). They come as fixed-shape patches of frames
-with their time spans, ready for an Arrow tensor column.
+with their time spans: rows for Spark, and for each document an Arrow stream whose tensor column has
+the extension type of fixed shape, which Spark's own types lack.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from ._common import map_arrow
 STORED_RATE, TARGET_RATE = 12_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
 #: Frames of a patch: the tensors have the shape (PATCH, MELS).
-PATCH = 96
+PATCH = 32
+#: Bytes of tensors that a batch of the query's result holds, but for one longer document.
+RESULT_BYTES = 4 << 20
 #: Frames that are transformed at once.
 BLOCK = 4_096
 #: Filter taps of each phase.
@@ -75,17 +78,21 @@ def low_pass(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """``x`` at another rate: each output phase has its own short filter, and only wanted outputs are kept."""
+    """``x`` at another rate: each output phase has its own short filter, and only wanted outputs are computed."""
     up, down = target // gcd(rate, target), rate // gcd(rate, target)
     if up == down:
         return x
-    taps = low_pass(up, down)
-    out = np.zeros(-(-len(x) * up // down), np.float32)
-    for r in range(min(up, len(out))):
-        phase, first = r * down % up, r * down // up
-        y = np.convolve(x, taps[phase::up])[first::down]
+    taps = low_pass(up, down).reshape(TAPS, up)[::-1]  # of each phase, last tap first
+    many = -(-len(x) * up // down)
+    out = np.zeros(many, np.float32)
+    before = np.pad(x, (TAPS - 1, TAPS))
+    windows = np.lib.stride_tricks.sliding_window_view(before, TAPS)
+    for r in range(min(up, many)):
         part = out[r::up]
-        part[: len(y)] = y[: len(part)]
+        phase, first = r * down % up, r * down // up
+        own, filt = windows[first::down][: len(part)], np.ascontiguousarray(taps[:, phase])
+        for i in range(0, len(part), BLOCK):
+            part[i : i + BLOCK] = own[i : i + BLOCK] @ filt
     return out
 
 
@@ -156,16 +163,22 @@ def features_of(media: bytes, target: int = TARGET_RATE) -> tuple[bytes, Feature
 
 
 def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``media``: each text's UTF-8 bytes, padded, as a WAV file. Null texts count as empty."""
-    own = [c for c in docs.columns if c.lower() not in ("media", "_raw")]
-    out = docs.select(*own, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_raw"))
-    schema = out.drop("_raw").schema.add("media", "binary")
+    """``docs`` with ``media``: each text's UTF-8 bytes, padded, as a WAV file.
+
+    Null and empty texts become 64 silent samples; very long texts are one file; repeated rows each
+    have theirs; an empty table stays empty. A ``media`` column of ``docs`` is replaced, all others
+    stay, whatever their names.
+    """
+    own = [c for c in docs.columns if c.lower() != "media"]
+    # plain names inside, so that no column of docs can clash
+    inner = [f"c{i}" for i in range(len(own))]
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, inner)], F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    schema = docs.select(*[f"`{c}`" for c in own]).schema.add("media", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = pa.array([wav(pad(x)) for x in batch.column("_raw").to_pylist()], pa.binary())
-            rest = [n for n in batch.schema.names if n != "_raw"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), media], [*rest, "media"])
+            media = pa.array([wav(pad(x)) for x in batch.column("raw").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in inner), media], [*own, "media"])
 
     return map_arrow(out, run, schema)
 
@@ -189,12 +202,25 @@ def patch_digest(patches: pa.RecordBatch) -> str:
     return f"{len(tensors)}:{zlib.crc32(spans.astype('<f8').tobytes()):08x}:{zlib.crc32(tensors.astype('<f4', copy=False)):08x}"
 
 
+def tensor_stream(patches: pa.RecordBatch) -> bytes:
+    """An Arrow stream of a document's patches, the tensors as a fixed-shape extension column."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, patches.schema) as out:
+        out.write_batch(patches)
+    return sink.getvalue().to_pybytes()
+
+
+def read_stream(stored: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(stored).read_next_batch()
+
+
 def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row per patch: ``key``, patch, start_s, end_s, active (share of frames in segments), log_mel.
 
     ``log_mel`` holds PATCH x MELS floats in row order, as Spark has no tensors; ``tensor_column``
-    makes the Arrow tensor column of it. Null media give no rows; repeated rows each give theirs;
-    an empty table none.
+    makes the Arrow tensor column of it. Null media give no rows, and bytes that are no 8-bit WAV an
+    error; repeated rows each give theirs, a null key stays null; very long media give as many
+    patches as they hold; an empty table none. Other columns of ``media`` are ignored.
     """
     source = media.select(F.col(key).alias("key"), F.col(column).alias("media")).where("media is not null")
     kind = source.schema["key"].dataType.simpleString()
@@ -217,29 +243,41 @@ def tensor_column(flat: pa.ListArray) -> pa.FixedShapeTensorArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten(), PATCH * MELS))
 
 
-OP10_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+OP10_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_patches int, tensors binary"
 
 
 def op10_media_audio(docs: DataFrame) -> DataFrame:
     """Stores each text as WAV, reads it back and describes what was read; one row per row of ``docs``.
 
-    The media are those of ``encode_media``; each document's patches are made as tensors with time
-    spans, as ``audio_features`` returns them, and ``feature`` covers both. Null texts count as
-    empty and store 64 silent samples. Equal texts give equal values whatever the batch; a very
-    long text is transformed block by block.
+    ``tensors`` is the Arrow stream of the document's patches (``tensor_stream``): fixed-shape
+    tensors with their time spans. ``feature`` is made of what is read back from that stream and of
+    the frames' statistics. Null and empty texts store 64 silent samples; equal texts give equal
+    values whatever the batch, repeated rows each theirs; a very long text is transformed block by
+    block; a null doc_id stays null; an empty table stays empty; further columns are ignored.
     """
-    raw = F.coalesce(F.col("text"), F.lit("")).alias("_raw")
-    stored = encode_media(docs.select(F.col("doc_id").cast("long"), F.octet_length(raw).cast("long").alias("n_bytes"), raw), "_raw")
+    raw = F.coalesce(F.col("text"), F.lit("")).alias("raw")
+    stored = encode_media(docs.select(F.col("doc_id").cast("long"), F.octet_length(raw).cast("long").alias("n_bytes"), raw), "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_patches", "tensors"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
-            rows = []
-            for media in batch.column("media").to_pylist():
+            rows, held = [], 0
+            for doc_id, n_bytes, media in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "n_bytes", "media"))):
                 back, found = features_of(media)
-                rows.append((len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), f"{found.digest()}:{patch_digest(patch_batch(found))}"))
+                tensors = tensor_stream(patch_batch(found))
+                patches = read_stream(tensors)
+                rows.append((doc_id, n_bytes, len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), f"{found.digest()}:{patch_digest(patches)}", patches.num_rows, tensors))
+                held += len(tensors)
+                if held >= RESULT_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
             if rows:
-                columns = [pa.array(list(c)) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield made(rows)
 
-    return map_arrow(stored, run, OP10_SCHEMA)
+    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, OP10_SCHEMA)

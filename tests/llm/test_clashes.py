@@ -26,7 +26,7 @@ def test_clashing_names(spark, tmp_path):
         "tokens": tokens.count_tokens(docs, tokens.tokenizer_path()),
         "media": media.encode_media(docs),
     }
-    added = {"substring": {"kept"}, "mark": {"hits"}, "toxic": {"score", "spans"}, "quality": {"score", "text_score"}, "tokens": {"digest", "n_tokens"}, "media": {"media", "_raw"}}
+    added = {"substring": {"kept"}, "mark": {"hits"}, "toxic": {"score", "spans"}, "quality": {"score", "text_score"}, "tokens": {"digest", "n_tokens"}, "media": {"media"}}
     for name, out in results.items():
         got = out.collect()
         assert len(got) == 7, name
