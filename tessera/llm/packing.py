@@ -76,5 +76,10 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op2_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """A row for each piece of each row of ``docs``, without the ids themselves.
+
+    Nulls, empty and very long texts, repeated rows, empty tables and further columns as in
+    ``decompose``; there are no ties, as a document's pieces follow from its length alone.
+    """
     pieces = decompose(docs, tokenizer, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")

@@ -96,6 +96,12 @@ def production_rules(spark: SparkSession) -> DataFrame:
 
 
 def op3_url_filters(pages: DataFrame) -> DataFrame:
+    """A row for each row of ``pages``, judged by the production rules.
+
+    Nulls, empty and very long urls, ties of rules, repeated rows and empty tables as in
+    ``filter_urls``; a null page_id stays null; further columns are ignored. ``pages`` must be
+    readable again in the same order, as its rows are numbered and joined back.
+    """
     return filter_urls(pages.select("page_id", "url"), production_rules(pages.sparkSession)).select("page_id", "host", "path", "rule", "verdict")
 
 
