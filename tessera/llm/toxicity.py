@@ -14,6 +14,7 @@ Python steps than many short ones.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -241,25 +242,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` whole texts of each label, those with the lowest hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, y``: at most ``rows`` whole texts of each label, those with the lowest hash of doc_id.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out. A doc_id that is labelled twice
-    counts as toxic if either says so; null labels and ids are not used.
+    counts as toxic if either says so, one that many rows share teaches by one of its texts; null
+    labels, ids and texts are not used.
     """
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    taught = taught.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+    taught = taught.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids: list[tuple[int, int]] = []
     for y in (0, 1):
-        picked = taught.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        picked = taught.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids += [(r[0], y) for r in picked.select("doc_id").collect()]
-    if not ids:
-        return [], np.zeros(0, int)
-    few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _y int"))  # 2 x rows at most
-    # a doc_id that many rows share teaches by one of its texts, so that what is collected stays bounded
-    own = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
-    found = sorted((r["doc_id"], r["text"], r["_y"]) for r in own.collect())
-    return [t.encode() for _, t, _ in found], np.array([y for _, _, y in found], int)
+    few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))  # 2 x rows at most
+    return docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def class_shares(labels: DataFrame, label: str) -> float:
@@ -319,12 +316,25 @@ def without_toxic(docs: DataFrame, model: Field, most: float = 0.5) -> DataFrame
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Field:
-    """The field of the rows that may teach, with its calibration moved to the labels' own shares."""
-    texts, y = training_rows(docs, labels, label)
-    model = fit(texts, y)
+    """The field of the rows that may teach, with its calibration moved to the labels' own shares.
+
+    The rows, bounded by ``TRAIN_ROWS``, meet in one task, which fits and returns the weights (1 MB):
+    texts don't go through the driver, nor stay in its memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, t, y) for batch in batches for d, t, y in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("y").to_pylist()))
+        y = np.array([r[2] for r in rows], int)
+        model = fit([r[1] for r in rows], y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([float(y.mean()) if len(y) else 0.0])], ["model", "share"])
+
+    found = map_arrow(training_rows(docs, labels, label).select("doc_id", "text", "y").repartition(1), run, "model binary, share double").collect()
+    if not found:
+        return fit([], np.zeros(0, int))
+    model, taught = pickle.loads(found[0]["model"]), found[0]["share"]
     share = class_shares(labels, label)
-    if len(texts) and 0 < y.mean() < 1 and 0 < share < 1:
-        model.scale = model.scale + np.array([np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())), 0, 0])
+    if 0 < taught < 1 and 0 < share < 1:
+        model.scale = model.scale + np.array([np.log(share / (1 - share)) - np.log(taught / (1 - taught)), 0, 0])
     return model
 
 
