@@ -27,21 +27,33 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 VECTOR = 48
 #: Levels of a tree, and the sets and shingles of a bucket that is not split further.
 LEVELS, MOST_SETS, MOST_SHINGLES = 3, 2_048, 3_000_000
+#: Sets and shingles of a block; a bucket of more is compared block by block, and two blocks at most
+#: are in memory at once.
+BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1_500_000
+#: Rows of a matrix of pairs that are worked on at once.
+STRIP = 256
 #: Shingles in more sets of a bucket than this are counted by matrix products, others by their lists.
 FREQUENT = 12
 
 _A = mix(np.arange(1, VECTOR + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = mix(np.arange(1, VECTOR + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
 
-
 #: Tells shingles of fewer words from others of an equal hash.
 _SHORT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
 
 
 def runs_needed(similarity: float, recall: float, levels: int = LEVELS) -> int:
-    """Runs after which a pair of this similarity has met in a leaf of the deepest level."""
+    """Runs after which a pair of this similarity has met in a leaf of the deepest level, with this chance.
+
+    Each run starts from a coordinate of its own. ValueError if there are fewer coordinates than runs.
+    """
+    if not 0 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("similarity and recall must lie between 0 and 1")
     level = 0.75 * similarity + 0.25 * (1 - (1 - similarity) ** 2)
-    return min(VECTOR // 2, math.ceil(math.log(1 - recall) / math.log(1 - level**levels)))
+    many = 1 if level >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - level**levels))
+    if many > VECTOR:
+        raise ValueError(f"a recall of {recall} at similarity {similarity} takes {many} runs; the vector has {VECTOR} coordinates")
+    return many
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +123,7 @@ def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = REC
             F.bit_xor(F.xxhash64("rep")).alias("m1"),
             F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"),
         )
-        held = stored(held.where("n > 1"), "buckets")
+        held = stored(held.where("n > 1"), "buckets", small=True)
         large = (F.col("n") > MOST_SETS) | (F.col("shingles") > MOST_SHINGLES)
         last = level == LEVELS or held.where(large).limit(1).count() == 0
         small = held if last else held.where(~large)
@@ -121,7 +133,7 @@ def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         split = nodes.join(held.where(large).select("key"), "key", "left_semi").join(sets.select("rep", "mins"), "rep")
         first = F.pmod(F.xxhash64("key", F.lit(0)), F.lit(VECTOR)).cast("int")
         nodes = split.select("rep", "size", F.explode(_children(F.col("key"), first, F.col("mins"))).alias("key"))
-        nodes = stored(nodes, "nodes")
+        nodes = stored(nodes, "nodes", small=True)
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
@@ -155,9 +167,14 @@ def _intersections(s: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
 
 
 def linked(sizes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs reach the similarity; the diagonal is not set."""
-    whole = sizes[:, None] + sizes[None, :]
-    out = common * (1 + similarity) >= similarity * whole - 1e-3
+    """Which pairs reach the similarity, a strip of rows at a time; the diagonal is not set."""
+    out = np.empty(common.shape, bool)
+    own = sizes.astype(np.float64) * similarity
+    for a in range(0, len(sizes), STRIP):
+        least = own[a : a + STRIP, None] + own[None, :]
+        least -= 1e-3
+        least /= 1 + similarity
+        np.greater_equal(common[a : a + STRIP], least, out=out[a : a + STRIP])
     np.fill_diagonal(out, False)
     return out
 
@@ -170,13 +187,13 @@ def compare(texts: list[bytes], reps: np.ndarray, leaf: int, leaves: pa.ListArra
     pairs = linked(sizes, _intersections(s, np.repeat(np.arange(m), sizes), m), similarity)
     if block.min() != block.max():
         pairs &= block[:, None] != block[None, :]
-    i, j = np.nonzero(pairs)
-    if not len(i):
+    if not pairs.any():
         return reps[:0], reps[:0], np.zeros(0, np.int64)
-    root = reps.copy()
+    root, highest = reps.copy(), np.iinfo(np.int64).max
     while True:
         before = root.copy()
-        np.minimum.at(root, i, root[j])
+        for a in range(0, m, STRIP):
+            np.minimum(root[a : a + STRIP], np.where(pairs[a : a + STRIP], root[None, :], highest).min(1), out=root[a : a + STRIP])
         if (before == root).all():
             break
     # a pair that also meets in a smaller leaf is counted there
@@ -184,21 +201,26 @@ def compare(texts: list[bytes], reps: np.ndarray, leaf: int, leaves: pa.ListArra
     lower = keys < leaf
     keys, own = keys[lower], own[lower]
     names, at = np.unique(keys, return_inverse=True)
-    met = np.zeros((m, m), bool)
-    width = max(64, 8_000_000 // m)
+    links = np.zeros(m, np.int64)
+    width = max(64, 4_000_000 // m)
+    members = []
     for a in range(0, len(names), width):
         in_part = (at >= a) & (at < a + width)
-        member = np.zeros((m, min(width, len(names) - a)), np.float32)
-        member[own[in_part], at[in_part] - a] = 1
-        met |= (member @ member.T) > 0
-    links = (pairs & ~met).sum(1)
+        members.append((own[in_part], at[in_part] - a, min(width, len(names) - a)))
+    for a in range(0, m, STRIP):
+        free = pairs[a : a + STRIP].copy()
+        for of, column, n in members:
+            member = np.zeros((m, n), np.float32)
+            member[of, column] = 1
+            free &= member[a : a + STRIP] @ member.T < 0.5
+        links[a : a + STRIP] = free.sum(1)
     some = pairs.any(1)
     return reps[some], root[some], links[some]
 
 
 def links_and_edges(texts: DataFrame, leaves: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``rep, root, links`` for each set and bucket with a link. ``texts``: rep, text."""
-    blocks = F.greatest(F.ceil(F.col("n") / MOST_SETS), F.ceil(F.col("shingles") / MOST_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = leaves.select("rep", "leaf", blocks.alias("blocks"))
     per_set = placed.groupBy("rep").agg(F.collect_list(F.struct("leaf", "blocks")).alias("places"))
     full = texts.join(per_set, "rep").select("rep", "text", F.sort_array(F.transform("places", lambda p: p["leaf"])).alias("leaves"), F.explode("places").alias("p"))
@@ -235,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; each round's edges are stored, and rounds end when they
     no longer change.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", small=True)
     seen = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -244,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges", small=True)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -261,14 +283,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     Null and empty texts (and those of white space only) have no set: each is a class of its own
     and kept. Texts of fewer words than a shingle are one shingle. Repeated rows are copies. A
-    null doc_id is replaced by a negative number from its row. An empty table stays empty.
+    null doc_id is replaced by a negative number from its row. A very long text is one set, compared
+    whole. An empty table stays empty; other columns are ignored, whatever their names. Shingles are
+    compared by 64-bit hashes: a clash would count as one common shingle.
     ``docs`` must be readable again in the same order (see ``with_row_id``).
     """
     base = with_row_id(docs.select("doc_id", "text"))
     signed = stored(sign(base, shingle), "signed")
     sets = signed.where("size > 0").groupBy("set1", "set2", "size", "mins").agg(F.min("_rid").alias("rep"))
     sets = stored(sets, "sets")
-    leaves = stored(buckets(sets, similarity, recall), "leaves")
+    leaves = stored(buckets(sets, similarity, recall), "leaves", small=True)
     found = stored(links_and_edges(base.select(F.col("_rid").alias("rep"), "text"), leaves, shingle, similarity), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -290,7 +314,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep.
+
+    Rows without words (null, empty, white space) all stay; of repeated rows the first stays;
+    columns of any name come back as they are; an empty table stays empty.
+    """
     rid = "_rid"
     while rid in docs.columns:
         rid += "_"
@@ -299,4 +327,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
 
 def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: its class, the document with the same set, and its links.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables as in
+    ``near_duplicates``; other columns of ``docs`` are ignored.
+    """
     return near_duplicates(docs).select("doc_id", "class_id", "copy_of", "n_links")

@@ -65,6 +65,7 @@ def test_brute_force(spark, sf01, odd_docs, tmp_path, which):
 
 def test_large_buckets_are_split_and_blocked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_SETS", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
     base = " ".join(f"t{i}" for i in range(200))
     rows = [(i, base.replace(f" t{10 + i} ", f" z{i} ")) for i in range(50)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
@@ -82,4 +83,47 @@ def test_keep_one_and_empty(spark, odd_docs, empty_docs):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard.runs_needed(0.8, 0.9999) <= jaccard.VECTOR // 2
+    for similarity in (0.5, 0.6, 0.8, 0.9, 1.0):
+        for recall in (0.5, 0.9, 0.99):
+            try:
+                many = jaccard.runs_needed(similarity, recall)
+            except ValueError:
+                assert similarity <= 0.6
+                continue
+            level = 0.75 * similarity + 0.25 * (1 - (1 - similarity) ** 2)
+            assert many <= jaccard.VECTOR and 1 - (1 - level**jaccard.LEVELS) ** many >= recall - 1e-9
+    assert jaccard.runs_needed(0.8, 0.9999) == 11
+    with pytest.raises(ValueError, match="coordinates"):
+        jaccard.runs_needed(0.3, 0.9999)
+
+
+def test_memory_of_a_full_pair_of_blocks():
+    """Two blocks at their limit stay far below a worker's share, whatever is alike in them."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    m = 2 * jaccard.BLOCK_SETS
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join([*base[: i % 50], f"z{i}", *base[i % 50 :]]).encode() for i in range(m)]
+    leaves = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * 3), pa.array(np.tile(np.array([1, 5, 9]), m)))
+    tracemalloc.start()
+    reps, root, links = jaccard.compare(texts, np.arange(m), 5, leaves, np.arange(m) % 2, 5, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(reps) == m and not links.any() and not root.any()  # all met in leaf 1
+    assert peak < 200e6
+
+
+def test_strips_equal_the_plain_rule(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "STRIP", 7)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 30, 40)
+    common = np.minimum(rng.integers(0, 30, (40, 40)), np.minimum(sizes[:, None], sizes[None, :])).astype(np.float32)
+    got = jaccard.linked(sizes, common, 0.8)
+    for i in range(40):
+        for j in range(40):
+            assert got[i, j] == (i != j and 5 * common[i, j] >= 4 * (sizes[i] + sizes[j] - common[i, j]))
