@@ -128,37 +128,44 @@ def recover(shards: list[tuple[int, int, bytes]], size: int, config: Config) ->
 
 
 def encode_column(df: DataFrame, key: str, data: str, config: Config) -> DataFrame:
-    """A row per shard: ``key, size, block, shard, is_parity, crc32, bytes``. Null data give none."""
-    source = df.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data")).where("data is not null")
+    """A row per shard: ``key, value_id, size, block, shard, is_parity, bytes, crc32``. Null data give none.
+
+    ``value_id`` tells values apart whose keys are equal or null; it numbers the rows of ``df``, which
+    must be a table or files, or stored before.
+    """
+    source = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("value_id"), F.col(data).cast("binary").alias("data")).where("data is not null")
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, raw in zip(batch.column("key"), batch.column("data").to_pylist()):
+            for k, v, raw in zip(batch.column("key"), batch.column("value_id").to_pylist(), batch.column("data").to_pylist()):
                 rows = encode(raw, config)
+                n = len(rows)
                 block, shard, parity, parts = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), k.type), pa.array([len(raw)] * len(rows), pa.int64()), pa.array(block, pa.int32()), pa.array(shard, pa.int32()), pa.array(parity), pa.array(parts, pa.binary())], ["key", "size", "block", "shard", "is_parity", "bytes"])
+                columns = [pa.array([k.as_py()] * n, k.type), pa.array([v] * n, pa.int64()), pa.array([len(raw)] * n, pa.int64()), pa.array(block, pa.int32()), pa.array(shard, pa.int32()), pa.array(parity), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "value_id", "size", "block", "shard", "is_parity", "bytes"])
 
-    out = source.mapInArrow(run, f"key {kind}, size long, block int, shard int, is_parity boolean, bytes binary")
+    out = source.mapInArrow(run, f"key {kind}, value_id long, size long, block int, shard int, is_parity boolean, bytes binary")
     return out.withColumnRenamed("key", key).withColumn("crc32", F.crc32("bytes"))
 
 
 def recover_column(shards: DataFrame, key: str, config: Config) -> DataFrame:
-    """``key, data`` from the shards that are left and whose checksum is right; null where too few are."""
-    good = shards.where(F.crc32("bytes") == F.col("crc32"))
-    grouped = good.groupBy(key, "size").agg(F.collect_list(F.struct("block", "shard", "bytes")).alias("parts"))
-    every = shards.select(key, "size").distinct()
+    """``key, data`` from the shards that are left and whose checksum is right, a row per value; null where too few are.
+
+    The shards of one value meet in one task: a value is the unit of memory.
+    """
+    good = F.when(F.crc32("bytes") == F.col("crc32"), F.struct("block", "shard", "bytes"))
+    grouped = shards.groupBy("value_id").agg(F.first(key).alias("key"), F.first("size").alias("size"), F.collect_list(good).alias("parts"))
     kind = shards.schema[key].dataType.simpleString()
-    source = every.join(grouped, [key, "size"], "left").select(F.col(key).alias("key"), "size", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for size, parts in zip(batch.column("size").to_pylist(), batch.column("parts").to_pylist()):
                 try:
-                    out.append(recover([(p["block"], p["shard"], p["bytes"]) for p in parts or []], size, config))
+                    out.append(recover([(p["block"], p["shard"], p["bytes"]) for p in parts], size, config))
                 except DataError:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "data"])
 
-    return source.mapInArrow(run, f"key {kind}, data binary").withColumnRenamed("key", key)
+    return grouped.select("key", "size", "parts").mapInArrow(run, f"key {kind}, data binary").withColumnRenamed("key", key)

@@ -21,14 +21,14 @@ def _ordered(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))
 
 
-def row_group_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+def row_group_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = False, distinct: bool = True) -> DataFrame:
     """``rg_id, row_count`` and per column ``__min, __max, __null_count, __value_count, __ndv``.
 
     ``df`` has ``rg_id``. Partial aggregation sends one row per group and task; ``exact`` counts
-    distinct values exactly, otherwise by a sketch. Columns without an order have null extremes.
+    distinct values exactly, otherwise by a sketch; without ``distinct`` there is no ``__ndv``. Columns without an order have null extremes.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    columns = columns or [c for c in df.columns if c != "rg_id"]
+    columns = [c for c in df.columns if c != "rg_id"] if columns is None else columns
     out = [F.count(F.lit(1)).alias("row_count")]
     for c in columns:
         ordered = _ordered(kinds[c])
@@ -37,8 +37,9 @@ def row_group_stats(df: DataFrame, columns: list[str] | None = None, exact: bool
             (F.max(c) if ordered else F.lit(None).cast(kinds[c])).alias(f"{c}__max"),
             (F.count(F.lit(1)) - F.count(c)).alias(f"{c}__null_count"),
             F.count(c).alias(f"{c}__value_count"),
-            (F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"{c}__ndv"),
         ]
+        if distinct:
+            out.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"{c}__ndv"))
     return df.groupBy("rg_id").agg(*out)
 
 

@@ -51,8 +51,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -406,7 +411,7 @@ ENTROPY = "select doc_id, n, log2(n) - sum(c * log2(c)) / n as h from (select do
 
 @register("q38_byte_entropy", f"select doc_id, round(h, 6) as entropy from ({ENTROPY.format(text='text')})")
 def _(spark, d):
-    return entropy.entropy_by_shuffle(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data").select("doc_id", F.round("entropy", 6).alias("entropy"))
+    return entropy.byte_entropy(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data").select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 @register("q39_codec_advisor", "select event_type, case when length(p) < 1024 then 'NONE' when h > 7.4 then 'NONE' else 'ZSTD' end as codec from (select event_type, string_agg(props, '' order by event_id) as p, 3.0 as h from events where event_id < 300 group by 1)")
@@ -430,7 +435,7 @@ def _(spark, d):
 
 @register("q40_compression_ratio_estimate", f"select doc_id, round(1 / (1 + exp(-15 * (h / 8 - 0.6))), 5) as ratio, h > 7.4 as dense from ({ENTROPY.format(text='text')})")
 def _(spark, d):
-    found = entropy.entropy_by_shuffle(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
+    found = entropy.byte_entropy(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
     return found.select("doc_id", F.round(entropy.ratio_estimate(F.col("entropy")), 5).alias("ratio"), entropy.likely_compressed(F.col("entropy")).alias("dense"))
 
 
@@ -451,7 +456,12 @@ def _(spark, d):
     return df.select("event_id", *[F.decode(f"{c}_back", "UTF-8").alias(c) for c in ("zstd", "lz4")])
 
 
-@register("q42_crc32_rows")
+#: CRC-32 bit by bit would take eight steps a byte; this takes one, from a table that the same rule makes.
+CRC_TABLE = "(select list(v order by i) as t from (select i, list_reduce([i::ubigint] || [0::ubigint for z in range(8)], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as v from (select unnest(range(256)) as i)))"
+CRC_SQL = f"""select doc_id, xor(list_reduce([4294967295::ubigint] || [('0x' || h)::ubigint for h in regexp_extract_all(hex(encode(text)), '..')], lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint as crc32, true as ok from documents, {CRC_TABLE}"""
+
+
+@register("q42_crc32_rows", CRC_SQL)
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", integrity.crc32(F.col("text")).alias("crc32"), integrity.verify_crc(F.col("text"), integrity.crc32(F.col("text"))).alias("ok"))
 
@@ -506,7 +516,21 @@ def _(spark, d):
     return evolution.apply_migration(read(spark, d, "supplier"), evolution.plan_migration(old, new, {"s_name": "name"}), new)
 
 
-@register("q49_type_compat_matrix")
+def _pairs(table: dict[str, str]) -> str:
+    return "(values " + ", ".join(f"('{a}', '{b}')" for a, every in table.items() for b in every.split()) + ")"
+
+
+TYPES = "(values " + ", ".join(f"('{n}')" for n in types.NAMES) + ")"
+
+
+@register(
+    "q49_type_compat_matrix",
+    f"""with pairs as (select a.t as from_type, b.t as to_type,
+           case when a.t = b.t then 'IDENTICAL' when (a.t, b.t) in (select (x, y) from {_pairs(evolution.WIDENING)} w(x, y)) then 'WIDENING'
+                when (a.t, b.t) in (select (x, y) from {_pairs(evolution.NARROWING)} n(x, y)) then 'NARROWING' else 'INCOMPATIBLE' end as level
+           from {TYPES} a(t), {TYPES} b(t))
+        select *, level in ('IDENTICAL', 'WIDENING') as safe, level <> 'INCOMPATIBLE' as possible from pairs""",
+)
 def _(spark, d):
     return evolution.compatibility_matrix(spark)
 
@@ -518,7 +542,7 @@ def _(spark, d):
     return evolution.plan_migration(old, new).as_df(spark)
 
 
-@register("q79_type_conversions")
+@register("q79_type_conversions", "select * from (values " + ", ".join(f"('{n}', '{a}', '{b}', {str(ok).lower()})" for n, a, b, ok in evolution.CONVERSIONS) + ") t(name, from_type, to_type, safe)")
 def _(spark, d):
     return evolution.conversions(spark)
 

@@ -51,7 +51,11 @@ class Table:
 
     @classmethod
     def write(cls, df: DataFrame, path: str, position: str, config: WriterConfig | None = None, schema: Schema | None = None, stats_columns: list[str] | None = None) -> Table:
-        """Stores the rows, the statistics and the settings; the rows are read once."""
+        """Stores the rows, the statistics and the settings.
+
+        ``df`` is read twice, as the ranges of positions are found from a sample; statistics are
+        taken from the stored rows.
+        """
         config = config or WriterConfig()
         df = conform(df, schema) if schema else df
         S.with_groups(df, position, config.row_group_size).repartitionByRange("rg_id").sortWithinPartitions(position).drop("rg_id").write.options(**config.options()).mode("errorifexists").parquet(f"{path}/rows")
@@ -102,27 +106,32 @@ class Table:
             picked.append(known[n] if isinstance(n, int) else n)
         return self.rows.select(*picked)
 
-    def group(self, i: int) -> DataFrame:
-        """One row group, as a range of positions that Parquet can push down."""
-        if i < 0:
+    def group(self, i: int, columns: list[str | int] | None = None) -> DataFrame:
+        """One row group or some of its columns, as a range of positions that Parquet can push down; DataError past the end."""
+        if i < 0 or i and self.rows.where(F.col(self.position) >= i * self.size).isEmpty():
             raise DataError(f"no row group {i}")
-        return self.range(i * self.size, (i + 1) * self.size)
+        picked = self.columns(columns).columns if columns is not None else self.rows.columns
+        return self.range(i * self.size, (i + 1) * self.size).select(*picked)
 
     def range(self, start: int, end: int) -> DataFrame:
         """Rows at positions from ``start`` up to ``end``, exactly."""
         return self.rows.where((F.col(self.position) >= start) & (F.col(self.position) < end))
 
-    def pruned(self, preds: list[Pred], columns: list[str] | None = None) -> DataFrame:
-        """All rows of the groups that may hold rows that pass.
+    def pruned(self, preds: list[Pred], columns: list[str | int] | None = None) -> DataFrame:
+        """All rows, or some columns of them, of the groups that may hold rows that pass.
 
-        The surviving groups of the small statistics table are merged into position ranges, which
-        are pushed down to the files; where there are very many, they are joined instead.
+        Without stored statistics those of the predicates' columns are made, extremes and null
+        counts only. The surviving groups are merged into position
+        ranges, which are pushed down to the files; where there are very many, they are joined.
         """
-        keep = S.accessible_groups(self.statistics(columns), preds)
+        named = self.columns(columns).columns if columns is not None else self.rows.columns
+        known = sorted({p.column for p in preds} & set(self.rows.columns))
+        stats = self.stats if self.stats is not None else S.row_group_stats(self.with_groups(), known, distinct=False)
+        keep = S.accessible_groups(stats, preds)
         ids = [r[0] for r in keep.orderBy("rg_id").limit(MOST_LISTED + 1).collect()]
         if len(ids) > MOST_LISTED:
-            return self.with_groups().join(keep, "rg_id", "left_semi").drop("rg_id")
-        return self.rows.where(self._ranges(ids))
+            return self.with_groups().join(keep, "rg_id", "left_semi").select(*named)
+        return self.rows.where(self._ranges(ids)).select(*named)
 
     def _ranges(self, ids: list[int]):
         merged: list[list[int]] = []
@@ -138,10 +147,10 @@ class Table:
             parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else F.lit(False)
 
-    def filtered(self, preds: list[Pred], columns: list[str] | None = None) -> DataFrame:
-        """Exactly the rows that pass: pruned groups and the filter itself."""
-        out = self.pruned(preds).where(to_filter(preds))
-        return out.select(*columns) if columns else out
+    def filtered(self, preds: list[Pred], columns: list[str | int] | None = None) -> DataFrame:
+        """Exactly the rows that pass, or some columns of them: pruned groups and the filter itself."""
+        named = self.columns(columns).columns if columns is not None else self.rows.columns
+        return self.pruned(preds).where(to_filter(preds)).select(*named)
 
     def partial_row(self, i: int, columns: list[str]) -> DataFrame:
         """The first row of a group, or none."""
