@@ -237,21 +237,45 @@ def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media")
     return out.withColumnRenamed("key", key)
 
 
+def audio_tensors(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """``key, n_patches, tensors``: a row per row of ``media``, the patches as one ``tensor_stream``.
+
+    Null media give no rows, repeated rows each theirs, very long media one long stream; a null key
+    stays null, an empty table stays empty. Batches hold about ``RESULT_BYTES`` of tensors.
+    """
+    source = media.select(F.col(key).alias("key"), F.col(column).alias("media")).where("media is not null")
+    field = source.schema["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, rows = 0, 0, []
+            for i, stored in enumerate(batch.column("media").to_pylist()):
+                patches = patch_batch(features_of(stored)[1])
+                rows.append((patches.num_rows, tensor_stream(patches)))
+                held += len(rows[-1][1])
+                if held >= RESULT_BYTES or i == batch.num_rows - 1:
+                    n, streams = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(rows)), pa.array(n, pa.int32()), pa.array(streams, pa.binary())], ["key", "n_patches", "tensors"])
+                    first, held, rows = i + 1, 0, []
+
+    return map_arrow(source, run, f"key {field.dataType.simpleString()}, n_patches int, tensors binary").withColumnRenamed("key", key)
+
+
 def tensor_column(flat: pa.ListArray) -> pa.FixedShapeTensorArray:
     """The patches of ``audio_features`` as an Arrow column of (PATCH, MELS) tensors."""
     kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten(), PATCH * MELS))
 
 
-OP10_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_patches int, tensors binary"
+OP10_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_patches int"
 
 
 def op10_media_audio(docs: DataFrame) -> DataFrame:
     """Stores each text as WAV, reads it back and describes what was read; one row per row of ``docs``.
 
-    ``tensors`` is the Arrow stream of the document's patches (``tensor_stream``): fixed-shape
-    tensors with their time spans. ``feature`` is made of what is read back from that stream and of
-    the frames' statistics. Null and empty texts store 64 silent samples; equal texts give equal
+    Each document's patches are written as an Arrow stream (``tensor_stream``: fixed-shape tensors
+    with their time spans, as ``audio_tensors`` returns them); ``feature`` is made of what is read
+    back from that stream and of the frames' statistics. Null and empty texts store 64 silent samples; equal texts give equal
     values whatever the batch, repeated rows each theirs; a very long text is transformed block by
     block; a null doc_id stays null; an empty table stays empty; further columns are ignored.
     """
@@ -260,24 +284,16 @@ def op10_media_audio(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_patches", "tensors"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_patches"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
 
         for batch in batches:
-            rows, held = [], 0
+            rows = []
             for doc_id, n_bytes, media in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "n_bytes", "media"))):
                 back, found = features_of(media)
-                tensors = tensor_stream(patch_batch(found))
-                patches = read_stream(tensors)
-                rows.append((doc_id, n_bytes, len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), f"{found.digest()}:{patch_digest(patches)}", patches.num_rows, tensors))
-                held += len(tensors)
-                if held >= RESULT_BYTES:
-                    yield made(rows)
-                    rows, held = [], 0
+                patches = read_stream(tensor_stream(patch_batch(found)))
+                rows.append((doc_id, n_bytes, len(back), sha(back), zlib.crc32(back[-64:]), len(media), sha(media), f"{found.digest()}:{patch_digest(patches)}", patches.num_rows))
             if rows:
-                yield made(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, OP10_SCHEMA)

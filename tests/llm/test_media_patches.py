@@ -30,12 +30,16 @@ def test_digest_depends_on_tensors_and_spans():
     assert media.patch_digest(media.patch_batch(slower)) != one
 
 
-def test_the_query_stores_tensors(spark, odd_docs):
-    for r in media.op10_media_audio(odd_docs).collect():
-        patches = media.read_stream(r.tensors)
+def test_stored_tensors_are_those_of_the_query(spark, odd_docs):
+    docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    stored = {r.doc_id: r for r in media.audio_tensors(media.encode_media(docs)).collect()}
+    rows = media.op10_media_audio(docs).collect()
+    assert len(rows) == len(stored)
+    for r in rows:
+        patches = media.read_stream(stored[r.doc_id].tensors)
         kind = patches.schema.field("log_mel").type
         assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [media.PATCH, media.MELS]
-        assert patches.num_rows == r.n_patches and r.feature.endswith(":" + media.patch_digest(patches))
+        assert patches.num_rows == r.n_patches == stored[r.doc_id].n_patches and r.feature.endswith(":" + media.patch_digest(patches))
         start, end = (patches.column(c).to_numpy() for c in ("start_s", "end_s"))
         assert (start < end).all() and (start[1:] < end[:-1] + 1e-9).all()
         # the spans reach to the last sample
