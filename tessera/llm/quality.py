@@ -169,8 +169,12 @@ def calibrated(views: list[View], xs: tuple[np.ndarray, np.ndarray], y: np.ndarr
     return tuple(logistic(np.stack([np.ones(len(y)), v.odds(x)], axis=1), y) for v, x in zip(views, xs))
 
 
-def exchange(teachers: list[View], scales: tuple[np.ndarray, ...], shift: float, learners: list[View]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """For ``summed``: how many rows each view teaches, and each learner's slopes on what the other view is sure of."""
+def exchange(teachers: list[View], scales: tuple[np.ndarray, ...], shift: float, learners: list[View], prior: float | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For ``summed``: how many rows each view teaches, and each learner's slopes on what the other view is sure of.
+
+    ``prior``: the log odds of the labelled rows' own shares. A view must be sure by its evidence, not
+    by these shares alone, or one that knows nothing would call everything the commoner label.
+    """
 
     def each(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         counts, out = [], []
@@ -178,6 +182,9 @@ def exchange(teachers: list[View], scales: tuple[np.ndarray, ...], shift: float,
         for k in (0, 1):
             odds = teachers[1 - k].odds(xs[1 - k]) * scales[1 - k][1] + scales[1 - k][0] + shift
             sure = np.abs(odds) > SURE
+            if prior is not None:
+                known = odds - shift - prior
+                sure &= (np.abs(known) > SURE) & (known * odds > 0)
             counts.append(sure.sum())
             out.append(learners[k].slopes(xs[k][sure], (odds[sure] > 0).astype(float)))
         return np.concatenate([np.array(counts[::-1], float), *out])
@@ -203,10 +210,11 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[
     deviation = np.sqrt(np.maximum(total[1 + wide :] / n - mean**2, 0)) + 1e-3
     cuts = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, wide))
     models = [View.fit(x, y[~fold], mean[c], deviation[c]) for x, c in zip(own, cuts)]
+    prior = float(np.log(y.mean() / (1 - y.mean())))
     for _ in range(rounds if rest is not None else 0):
         teachers, scales = models, calibrated(models, held, y[fold])
         for _ in range(steps):
-            found = summed(unlabelled, exchange(teachers, scales, shift, models))[2:]
+            found = summed(unlabelled, exchange(teachers, scales, shift, models, prior))[2:]
             size = len(models[0].weights) * (len(models[0].weights) + 1)
             models = [v.moved(part + v.slopes(x, y[~fold])) for v, part, x in zip(models, (found[:size], found[size:]), own)]
     scales = calibrated(models, held, y[fold])
