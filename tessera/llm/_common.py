@@ -9,6 +9,7 @@ joined half by half through the same bijection. No step is linear, so that no st
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -85,12 +86,29 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and idle ones keep what they once held."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_BYTES``, which bounds what a worker holds.
 
     The limit is a setting of the session; it stays lowered, as Spark reads it when a plan runs,
-    which is after the operator has returned. The README says so too.
+    which is after the operator has returned. The README says so too. When a task ends, its worker
+    gives back what was freed.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
     now = conf.get(name, "64m").strip().lower()
@@ -98,7 +116,7 @@ def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     size = int(now.rstrip("bkmg") or 0) * next((scale[c] for c in now.removesuffix("b")[-1:] if c in scale), 1)
     if not 0 < size <= BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(run, schema)
 
 
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
