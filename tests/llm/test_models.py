@@ -116,7 +116,7 @@ def test_search_equals_plain_scores(spark, sf01, monkeypatch):
         own = index.weights[index.rows[t, b]]
         dense[t, b * decontam.BLOCK : b * decontam.BLOCK + len(dense[t, b * decontam.BLOCK :][: decontam.BLOCK])] = own[: len(dense[t, b * decontam.BLOCK :][: decontam.BLOCK])]
     for least in (0.15, 0.3, 0.5):
-        expected = {}
+        expected, hit, near = {}, {}, set()
         for d in range(len(texts)):
             own = h[words.offset[d] : words.offset[d + 1]]
             for p in range(-1, -(-len(own) // decontam.STRIDE)):
@@ -125,6 +125,10 @@ def test_search_equals_plain_scores(spark, sf01, monkeypatch):
                 s = dense[known].sum(0)
                 for e in np.flatnonzero(s >= least):
                     expected[d, int(index.item_of[e])] = max(s[e], expected.get((d, int(index.item_of[e])), 0))
-        got = {(d, i): s for d, i, s in decontam.search(index, words, h, least)}
+                    hit.setdefault((d, int(index.item_of[e])), set()).add(p + 1)
+                near |= {(d, int(index.item_of[e])) for e in np.flatnonzero(np.abs(s - least) < 1e-4)}
+        rows = decontam.search(index, words, h, least)
+        got = {(d, i): s for d, i, s, _ in rows}
+        assert {(d, i): where for d, i, _, where in rows if (d, i) not in near} == {k: sorted(v) for k, v in hit.items() if k not in near}
         close = {k for k, s in expected.items() if abs(s - least) < 1e-4}
         assert set(got) - close == set(expected) - close
