@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 KEY_BYTES, SALT_BYTES, NONCE_BYTES, TAG_BYTES = 32, 32, 12, 16
 # What HKDF derives keys for.
-PASSWORD_INFO, COLUMN_INFO = b"key-from-password", b"column-key:"
+PASSWORD_INFO, COLUMN_INFO, CHECK_INFO = b"key-from-password", b"column-key:", b"key-check"
 #: Flag bit: a salt follows the flags.
 HAS_SALT = 1
 
@@ -88,9 +88,23 @@ class ColumnEncryption:
     def is_encrypted(self, column: str) -> bool:
         return column in self.columns
 
+    def key_check(self) -> str:
+        """Tells master keys apart without giving them away."""
+        return hkdf(self.master, CHECK_INFO).hex()
+
     def encrypt(self, df: DataFrame) -> DataFrame:
-        return df.select(*[Encryption(column_key(self.master, c)).encrypt(F.col(c).cast("string")).alias(c, metadata={"encrypted": "aes-256-gcm"}) if self.is_encrypted(c) else F.col(c) for c in df.columns])
+        """Values are encrypted as text, timestamps as microseconds, so that no time zone matters."""
+
+        def plain(c: str) -> Column:
+            return (F.unix_micros(c) if df.schema[c].dataType.typeName() == "timestamp" else F.col(c)).cast("string")
+
+        return df.select(*[Encryption(column_key(self.master, c)).encrypt(plain(c)).alias(c, metadata={"encrypted": "aes-256-gcm"}) if self.is_encrypted(c) else F.col(c) for c in df.columns])
 
     def decrypt(self, df: DataFrame, types: dict[str, str]) -> DataFrame:
-        """Back to the ``types`` the columns had."""
-        return df.select(*[Encryption(column_key(self.master, c)).decrypt(F.col(c)).cast("string").cast(types[c]).alias(c) if self.is_encrypted(c) else F.col(c) for c in df.columns])
+        """Back to the ``types`` the columns had; null where a value isn't genuine."""
+
+        def back(c: str) -> Column:
+            text = Encryption(column_key(self.master, c)).decrypt(F.col(c)).cast("string")
+            return F.timestamp_micros(text.cast("long")) if types[c] == "timestamp" else text.cast(types[c])
+
+        return df.select(*[back(c).alias(c) if self.is_encrypted(c) else F.col(c) for c in df.columns])

@@ -15,7 +15,7 @@ from ..operators import encodings as E
 from ..operators import erasure, index, integrity
 from ..operators import stats as S
 from ..sources import inspect
-from ..sources.table import Table, parse_range
+from ..sources.table import Table, WriterConfig, parse_range
 from ..streaming import append
 from . import evolution, types
 from .predicates import Pred
@@ -414,13 +414,6 @@ def _(spark, d):
     return entropy.byte_entropy(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data").select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
-@register("q39_codec_advisor", "select event_type, case when length(p) < 1024 then 'NONE' when h > 7.4 then 'NONE' else 'ZSTD' end as codec from (select event_type, string_agg(props, '' order by event_id) as p, 3.0 as h from events where event_id < 300 group by 1)")
-def _(spark, d):
-    few = read(spark, d, "events").where("event_id < 300").groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), "").alias("p"))
-    data = F.col("p").cast("binary")
-    return few.select("event_type", entropy.advise_codec(data, entropy.entropy(F.substring(data, 1, entropy.SAMPLE))).alias("codec"))
-
-
 UNITS = f"select event_type, event_id // {EVENTS} as rg_id, hex(encode(string_agg(props, '' order by event_id))) as x from events group by 1, 2"
 UNIT_BYTES = f"select event_type, rg_id, x[1:28] as head, length(x) // 2 as n_bytes, least(length(x) // 2, {entropy.SAMPLE}) as n, unnest(regexp_extract_all(x[1:{2 * entropy.SAMPLE}], '..')) as b from ({UNITS})"
 UNIT_ENTROPY = f"select event_type, rg_id, head, n_bytes, log2(n) - sum(c * log2(c)) / n as h from (select event_type, rg_id, head, n_bytes, n, b, count(*) as c from ({UNIT_BYTES}) group by all) group by event_type, rg_id, head, n_bytes, n"
@@ -433,6 +426,17 @@ def _(spark, d):
     return entropy.advise_units(grouped, ["event_type", "rg_id"], "event_id", "props").withColumn("entropy", F.round("entropy", 6))
 
 
+DOC_HEX = "select doc_id, hex(encode(coalesce(text, ''))) as x from documents"
+DOC_ENTROPY = f"select doc_id, x[1:28] as head, length(x) // 2 as n_bytes, log2(least(length(x) // 2, {entropy.SAMPLE})) - list_sum([c * log2(c) for c in map_values(list_histogram(regexp_extract_all(x[1:{2 * entropy.SAMPLE}], '..')))]) / least(length(x) // 2, {entropy.SAMPLE}) as h from ({DOC_HEX}) where x <> '' union all select doc_id, '', 0, 0.0 from ({DOC_HEX}) where x = ''"
+
+
+@register("q39_codec_advisor", f"select doc_id, case when n_bytes < {entropy.LEAST} or {UNIT_MAGIC} or h > {entropy.DENSE} then 'NONE' else 'ZSTD' end as codec, round(h, 6) as entropy from ({DOC_ENTROPY})")
+def _(spark, d):
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read(spark, d, "documents").select("doc_id", data.alias("data")).withColumn("h", entropy.entropy(F.substring("data", 1, entropy.SAMPLE)))
+    return docs.select("doc_id", entropy.advise_codec(F.col("data"), F.col("h")).alias("codec"), F.round("h", 6).alias("entropy"))
+
+
 @register("q40_compression_ratio_estimate", f"select doc_id, round(1 / (1 + exp(-15 * (h / 8 - 0.6))), 5) as ratio, h > 7.4 as dense from ({ENTROPY.format(text='text')})")
 def _(spark, d):
     found = entropy.byte_entropy(read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
@@ -680,3 +684,19 @@ def _(spark, d):
     path = work_dir(spark, "table")
     Table.write(read(spark, d, "supplier"), path, "s_suppkey", schema=schema)
     return Table.open(spark, path, schema).filtered([Pred("s_acctbal", "gt", (5000.0,))])
+
+
+@register("q88_encrypted_table", "select c_custkey, c_name, c_nationkey, c_acctbal from customer where c_acctbal > 5000 and c_nationkey <> 7")
+def _(spark, d):
+    path, own = work_dir(spark, "table"), crypto.ColumnEncryption(DEMO_KEY, ("c_name", "c_nationkey"))
+    source = read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    Table.write(source, path, "c_custkey", WriterConfig(ROWS, encryption=own))
+    return Table.open(spark, path, encryption=own).filtered([Pred("c_acctbal", "gt", (5000.0,)), Pred("c_nationkey", "ne", (7,))])
+
+
+@register("q89_recovered_table", "select s_suppkey, s_name, s_acctbal from supplier")
+def _(spark, d):
+    path = work_dir(spark, "table")
+    source = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    Table.write(source, path, "s_suppkey", WriterConfig(ROWS, parity=erasure.Config(parity=4, chunk=1024)))
+    return Table.recovered(spark, path).full()

@@ -7,13 +7,21 @@ the same size; the statistics are computed once, then, and never in a scan.
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import DataError
+from ..functions.crypto import ColumnEncryption
+from ..operators import erasure
 from ..operators import stats as S
 from ..plans.predicates import Pred, to_filter
 from ..plans.types import Schema, conform
@@ -21,22 +29,31 @@ from ..plans.types import Schema, conform
 #: Surviving groups up to this many become an IN list; more are joined.
 MOST_LISTED = 10_000
 
+ENCODINGS = {"auto": {}, "plain": {"parquet.enable.dictionary": "false"}, "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}}
+
 
 @dataclass(frozen=True)
 class WriterConfig:
     row_group_size: int = S.ROW_GROUP
     codec: str = "zstd"
     level: int = 3
+    #: ``plain`` (no dictionaries), ``delta`` (integers and strings by difference) or what Parquet picks.
+    encoding: str = "auto"
+    encryption: ColumnEncryption | None = None
+    #: Parity shards of the stored files, from which damaged or lost ones are rebuilt.
+    parity: erasure.Config | None = None
 
     def __post_init__(self) -> None:
         if self.row_group_size < 1:
             raise ValueError("a row group needs a row")
         if self.codec not in ("zstd", "lz4", "none", "snappy"):
             raise ValueError(f"unknown codec {self.codec!r}")
+        if self.encoding not in ENCODINGS:
+            raise ValueError(f"unknown encoding {self.encoding!r}")
 
     def options(self) -> dict[str, str]:
         codec = "uncompressed" if self.codec == "none" else "lz4raw" if self.codec == "lz4" else self.codec
-        return {"compression": codec, "parquet.compression.codec.zstd.level": str(min(max(self.level, 0), 10)), "parquet.block.row.count.limit": str(self.row_group_size)}
+        return {"compression": codec, "parquet.compression.codec.zstd.level": str(min(max(self.level, 0), 10)), "parquet.block.row.count.limit": str(self.row_group_size), **ENCODINGS[self.encoding]}
 
 
 class Table:
@@ -54,25 +71,91 @@ class Table:
         """Stores the rows, the statistics and the settings.
 
         ``df`` is read twice, as the ranges of positions are found from a sample; statistics are
-        taken from the stored rows.
+        taken from the stored rows. Encrypted columns have none, as extremes would give values away.
+        A stored file is the unit of memory where parity is made.
         """
         config = config or WriterConfig()
         df = conform(df, schema) if schema else df
+        own = config.encryption
+        kinds = {c: df.schema[c].dataType for c in (own.columns if own else ()) if c in df.columns}
+        if own and (len(kinds) < len(own.columns) or position in kinds or any(isinstance(k, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for k in kinds.values())):
+            raise DataError("encrypted columns must be plain columns of the table, and not the position")
+        df = own.encrypt(df) if own else df
         S.with_groups(df, position, config.row_group_size).repartitionByRange("rg_id").sortWithinPartitions(position).drop("rg_id").write.options(**config.options()).mode("errorifexists").parquet(f"{path}/rows")
         spark = df.sparkSession
         stored = spark.read.parquet(f"{path}/rows")
-        S.row_group_stats(S.with_groups(stored, position, config.row_group_size), stats_columns).write.parquet(f"{path}/stats")
-        meta = {"position": position, "size": config.row_group_size, "schema_id": schema.schema_id() if schema else None}
+        clear = [c for c in (stored.columns if stats_columns is None else stats_columns) if c not in kinds]
+        S.row_group_stats(S.with_groups(stored, position, config.row_group_size), clear).write.parquet(f"{path}/stats")
+        if config.parity:
+            shards = erasure.encode_column(_files(spark, path), "file", "content", config.parity)
+            shards.withColumn("bytes", F.when(F.col("is_parity"), F.col("bytes"))).write.parquet(f"{path}/parity")
+        meta = {"position": position, "size": config.row_group_size, "schema_id": schema.schema_id() if schema else None, "rows": stored.schema.json()}
+        meta |= {"encrypted": {c: k.simpleString() for c, k in kinds.items()}, "key_check": own.key_check() if own else None}
+        meta["parity"] = [config.parity.parity, config.parity.chunk] if config.parity else None
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
-        return cls.open(spark, path)
+        return cls.open(spark, path, encryption=own)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: Schema | None = None, encryption: ColumnEncryption | None = None) -> Table:
+        """Reads the settings; a schema with another fingerprint than the stored one, or another key, is refused.
+
+        Without ``encryption`` encrypted columns are the stored bytes. With it, reading a value that
+        was tampered with is an error.
+        """
+        return cls._opened(spark, path, spark.read.parquet(f"{path}/rows"), schema, encryption)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, schema: Schema | None = None) -> Table:
-        """Reads the settings; a schema with another fingerprint than the stored one is refused."""
+    def _opened(cls, spark: SparkSession, path: str, rows: DataFrame, schema: Schema | None, encryption: ColumnEncryption | None) -> Table:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
         if schema and meta["schema_id"] not in (None, schema.schema_id()):
             raise DataError("the table was written with another schema")
-        return cls(spark.read.parquet(f"{path}/rows"), meta["position"], meta["size"], spark.read.parquet(f"{path}/stats"))
+        types = meta.get("encrypted") or {}
+        if encryption and types:
+            if meta["key_check"] != encryption.key_check():
+                raise DataError("the table was written with another key")
+            sealed = ColumnEncryption(encryption.master, tuple(types))
+            both = rows.select("*", *[F.col(c).alias(f"_sealed_{c}") for c in types])
+            clear = sealed.decrypt(both, types)
+            genuine = lambda c: F.when(F.col(f"_sealed_{c}").isNotNull() & F.col(c).isNull(), F.raise_error(F.lit(f"{c}: not genuine")).cast(types[c])).otherwise(F.col(c))
+            rows = clear.select(*[genuine(c).alias(c) if c in types else F.col(c) for c in rows.columns])
+        return cls(rows, meta["position"], meta["size"], spark.read.parquet(f"{path}/stats"))
+
+    @classmethod
+    def recovered(cls, spark: SparkSession, path: str, schema: Schema | None = None, encryption: ColumnEncryption | None = None) -> Table:
+        """The table with damaged or lost files rebuilt from parity, for writing to another folder.
+
+        Reading fails if a file has lost more shards of a block than there is parity.
+        """
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
+        kind = T.StructType.fromJson(json.loads(meta["rows"]))
+        arrow = to_arrow_schema(kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
+                    if data is None:
+                        raise DataError(f"{file} has lost too much to be rebuilt")
+                    found = pq.read_table(io.BytesIO(data), coerce_int96_timestamp_unit="us")
+                    yield from found.select(arrow.names).cast(arrow).to_batches(max_chunksize=10_000)
+
+        files = erasure.recover_column(cls._shards(spark, path, meta), "file", erasure.Config(*meta["parity"]))
+        return cls._opened(spark, path, files.mapInArrow(run, kind), schema, encryption)
+
+    @classmethod
+    def damage(cls, spark: SparkSession, path: str) -> DataFrame:
+        """``file, damaged``: the data shards of each stored file that are lost or altered."""
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
+        wrong = ~F.col("is_parity") & ~F.coalesce(F.crc32("bytes") == F.col("crc32"), F.lit(False))
+        return cls._shards(spark, path, meta).groupBy("file").agg(F.count_if(wrong).alias("damaged"))
+
+    @staticmethod
+    def _shards(spark: SparkSession, path: str, meta: dict) -> DataFrame:
+        if not meta.get("parity"):
+            raise DataError("the table was written without parity")
+        have = erasure.encode_column(_files(spark, path), "file", "content", erasure.Config(*meta["parity"])).where("not is_parity")
+        have = have.select("file", "block", "shard", F.lit(False).alias("is_parity"), F.col("bytes").alias("found"))
+        stored = spark.read.parquet(f"{path}/parity").join(have, ["file", "block", "shard", "is_parity"], "left")
+        return stored.withColumn("bytes", F.coalesce("bytes", "found")).drop("found")
 
     # -- scans
 
@@ -90,6 +173,8 @@ class Table:
         """One column's extremes and counts over all groups; the distinct count is an upper bound."""
         self.columns([name])
         s = self.statistics([name])
+        if f"{name}__min" not in s.columns:
+            raise DataError(f"no statistics of {name!r}")
         sums = [F.sum(f"{name}__{n}").alias(n) for n in ("null_count", "value_count", "ndv")]
         return s.agg(F.min(f"{name}__min").alias("min"), F.max(f"{name}__max").alias("max"), *sums, F.sum("row_count").alias("row_count"))
 
@@ -168,6 +253,11 @@ class Table:
         return self.rows.sparkSession.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean, logical_type string")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, content`` of the stored row files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/rows").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+
+
 def convert(spark: SparkSession, source: str, kind: str, target: str, to: str = "parquet", schema: str | None = None, every: int | None = None, position: str | None = None, **options) -> None:
     """Reads CSV, JSON, ORC or Parquet and writes one of them, or every n-th row by a position column."""
     for k in (kind, to):
